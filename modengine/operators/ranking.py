@@ -59,7 +59,9 @@ def running_sums(
     by = list(by)
     shares = [i / buckets for i in range(1, buckets)]
     cuts = points.agg(F.array_distinct(F.percentile_approx(order, shares, 10 * buckets)).alias("c")).scalar()
-    cut = points.withColumn("_b", F.size(F.filter(cuts, lambda c: c < F.col(order))))
+    # The place of the value among the cuts: subqueries may not enter a lambda.
+    placed = F.array_position(F.sort_array(F.array_append(cuts, F.col(order))), F.col(order))
+    cut = points.withColumn("_b", placed.cast("int"))
     per_bucket = cut.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
     above = Wd.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Wd.unboundedPreceding, -1)
     whole = Wd.partitionBy(*by)
