@@ -57,8 +57,11 @@ def running_sums(
     fall changes the balance and never the result.
     """
     by = list(by)
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = points.agg(F.array_distinct(F.percentile_approx(order, shares, 10 * buckets)).alias("c")).scalar()
+    shares = F.expr(f"array({', '.join(f'{i / buckets}D' for i in range(1, buckets))})")
+    # Names every column of the points, so that the subquery needs the same
+    # shuffle as the branches below and Spark runs it once.
+    present = points.filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in sums]))
+    cuts = present.agg(F.array_distinct(F.percentile_approx(order, shares, 10 * buckets)).alias("c")).scalar()
     # The place of the value among the cuts: subqueries may not enter a lambda.
     placed = F.array_position(F.sort_array(F.array_append(cuts, F.col(order))), F.col(order))
     cut = points.withColumn("_b", placed.cast("int"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import lexicon, tags
 from ..functions.text import normalize_obfuscation
-from .curves import blended_thresholds, curve_counts, roc_auc
-from .metrics import apply_thresholds, average_rows, confusion, f1_of, macro_micro, precision_of, recall_of, subset_accuracy
+from .curves import confusion_at, point_counts, score_points, tuned
+from .metrics import apply_thresholds, f1_of, macro_micro, precision_of, ratio, recall_of, subset_accuracy
 from .ranking import join_null_safe
 
 PER_LABEL = [
@@ -18,64 +18,66 @@ PER_LABEL = [
 ]
 
 
-def per_label_record(preds: DataFrame, thresholds: DataFrame, aucs: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """One row of metrics and counts per group and label."""
+def per_label_record(points: DataFrame, thresholds: DataFrame | None = None, by: Sequence[str] = ("model",)) -> DataFrame:
+    """One row of metrics and counts per group and label, from score points.
+
+    Thresholds default to the blended ones. Threshold, AUC and the counts at the
+    threshold all come from the points, i.e. from one shuffle of the scores.
+    """
     keys = [*by, "label"]
-    rows = confusion(preds, keys).withColumns(
+    counts = point_counts(points, keys)
+    found = tuned(counts, keys)
+    if thresholds is not None:
+        on = [c for c in thresholds.columns if c in keys]
+        found = join_null_safe(found.drop("threshold"), thresholds, on, "left")
+    rows = confusion_at(points, found, keys).withColumns(
         {"f1": f1_of(), "precision": precision_of(), "recall": recall_of()}
     )
-    rows = join_null_safe(rows, aucs, keys, "left")
-    on = [c for c in thresholds.columns if c in keys]
-    return join_null_safe(rows, thresholds, on, "left").select(
+    return rows.select(
         *keys, "f1", "precision", "recall", "roc_auc", "threshold", F.col("tp").alias("true_positives"),
         F.col("tn").alias("true_negatives"), F.col("fp").alias("false_positives"), F.col("fn").alias("false_negatives"),
     )
 
 
+def per_label_metrics(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """The per-label half of ``metric_record`` as rows, at the blended thresholds."""
+    return per_label_record(score_points(scores, [*by, "label"]), by=by)
+
+
 def metric_record(
     scores: DataFrame, thresholds: DataFrame | None = None, by: Sequence[str] = ("model",), id_col: str = "id",
     nested: bool = False,
 ) -> DataFrame:
     """The full evaluation of each model: overall metrics and, with ``nested``,
-    the per-label records as a map. Thresholds default to the blended ones, found
-    from the curve counts that the AUC needs anyway."""
+    the per-label records as a map. The scores are read twice: for the points and,
+    with the thresholds known, for the rows that have every label right."""
     by, keys = list(by), [*by, "label"]
-    counts = curve_counts(scores, keys)
-    thresholds = blended_thresholds(counts, keys) if thresholds is None else thresholds
-    preds = apply_thresholds(scores.filter(F.col("y") >= 0), thresholds)
-    labels = per_label_record(preds, thresholds, roc_auc(counts, keys), by)
-    auc = F.when(F.count_if(F.col("roc_auc").isNull()) == 0, F.avg("roc_auc")).alias("roc_auc_macro")
-    parts = [auc]
+    labels = per_label_record(score_points(scores, keys), thresholds, by)
+    preds = apply_thresholds(scores.filter(F.col("y") >= 0), labels.select(*keys, "threshold"))
+    tp, fp, fn = F.sum("true_positives"), F.sum("false_positives"), F.sum("false_negatives")
+    parts = [
+        F.avg("f1").alias("f1_macro"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1_micro"),
+        F.when(F.count_if(F.col("roc_auc").isNull()) == 0, F.avg("roc_auc")).alias("roc_auc_macro"),
+    ]
     if nested:
         entry = F.struct("label", F.struct(*PER_LABEL).alias("m"))
         parts.append(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("per_label_metrics"))
-    pooled = labels.select(
-        *keys, F.col("true_positives").alias("tp"), F.col("false_positives").alias("fp"),
-        F.col("false_negatives").alias("fn"), F.col("true_negatives").alias("tn"),
-    )
-    overall = average_rows(pooled, by).select(*by, "f1_macro", "f1_micro")
-    for part in (subset_accuracy(preds, by, id_col), labels.groupBy(*by).agg(*parts)):
-        overall = join_null_safe(overall, part, by)
-    return overall
-
-
-def per_label_metrics(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """The per-label half of ``metric_record`` as rows, at the blended thresholds."""
-    keys = [*by, "label"]
-    counts = curve_counts(scores, keys)
-    thresholds = blended_thresholds(counts, keys)
-    preds = apply_thresholds(scores.filter(F.col("y") >= 0), thresholds)
-    return per_label_record(preds, thresholds, roc_auc(counts, keys), by)
+    overall = labels.groupBy(*by).agg(*parts)
+    return join_null_safe(overall, subset_accuracy(preds, by, id_col), by)
 
 
 def with_ensemble(scores: DataFrame, model_a: str, model_b: str, name: str = "ensemble") -> DataFrame:
-    """The scores of both models and, as a third one, their mean per row and label."""
-    two = scores.filter(F.col("model").isin(model_a, model_b))
-    mean = two.groupBy("id", "label").agg(
-        F.max("y").alias("y"), ((F.sum(F.when(F.col("model") == model_a, F.col("p")))
-                                 + F.sum(F.when(F.col("model") == model_b, F.col("p")))) / 2).alias("p")
-    ).filter(F.col("p").isNotNull()).withColumn("model", F.lit(name))
-    return two.select("id", "model", "label", "y", "p").unionByName(mean)
+    """The scores of both models and, as a third one, their mean per row and label.
+    One shuffle brings the two scores of a cell together; all three rows follow
+    from it. A cell that one model did not score has no mean."""
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("p")))
+    cells = scores.filter(F.col("model").isin(model_a, model_b)).groupBy("id", "label").agg(
+        F.max("y").alias("y"), of(model_a).alias("_a"), of(model_b).alias("_b")
+    )
+    rows = {model_a: F.col("_a"), model_b: F.col("_b"), name: (F.col("_a") + F.col("_b")) / 2}
+    return cells.select("id", "label", "y", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("model"), p.alias("p")) for m, p in rows.items()
+    ]))).filter(F.col("p").isNotNull())
 
 
 def ensemble_avg(a: DataFrame, b: DataFrame, name: str = "ensemble") -> DataFrame:

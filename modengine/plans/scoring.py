@@ -226,7 +226,7 @@ _SCAN = (
 
 @query("scan_threshold", f"{WITH}, {CURVE}, {_SCAN} SELECT {KEYS}, p AS threshold, round({F1}, 9) AS f1, tp, fp, fn, tn, two_classes FROM sc")
 def scan_threshold(spark, d):
-    return rounded(curves.scan_threshold(curves.curve_counts(scores(spark, d))))
+    return rounded(curves.scan_threshold(curves.curve_counts(scores(spark, d))).drop("roc_auc"))
 
 
 _FLAT = {"f1": F1, "precision": P, "recall": R, "accuracy": ACC}
@@ -322,7 +322,8 @@ def fit_width(spark, d):
 def _compared(spark, d):
     """Overall metrics of both models: the record and the pooled AUC."""
     long = scores(spark, d)
-    micro = curves.roc_auc(curves.curve_counts(long, ["model"]), ["model"]).withColumnRenamed("roc_auc", "roc_auc_micro")
+    pooled = curves.pool_points(curves.score_points(long), ["model"])
+    micro = curves.roc_auc(curves.point_counts(pooled, ["model"]), ["model"]).withColumnRenamed("roc_auc", "roc_auc_micro")
     return join_null_safe(resilience.metric_record(long), micro, ["model"])
 
 

@@ -34,19 +34,16 @@ def read_result_document(spark: SparkSession, path: str) -> DataFrame:
 
 def flatten_nested(records: DataFrame) -> DataFrame:
     """Nested records to rows (model, label, metric, value); the overall metrics
-    carry the label ``overall``."""
-    overall = records.select("model", F.lit("overall").alias("label"), F.inline(_pairs(OVERALL)))
-    labels = records.select("model", F.explode("per_label_metrics").alias("label", "m"))
-    names = [f.name for f in labels.schema["m"].dataType.fields]
-    return overall.unionByName(
-        labels.select("model", "label", F.inline(_pairs(names, "m.")))
-    ).filter(F.col("value").isNotNull())
-
-
-def _pairs(names, prefix: str = ""):
-    return F.array(*[
-        F.struct(F.lit(n).alias("metric"), F.col(prefix + n).cast("double").alias("value")) for n in names
-    ])
+    carry the label ``overall``. One pass: a record unfolds in place."""
+    def cell(label, metric, value):
+        return F.struct(label.alias("label"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+
+    names = [f.name for f in records.schema["per_label_metrics"].dataType.valueType.fields]
+    overall = F.array(*[cell(F.lit("overall"), n, F.col(n)) for n in OVERALL])
+    labels = F.flatten(F.transform(F.map_entries("per_label_metrics"), lambda e: F.array(*[
+        cell(e["key"], n, e["value"][n]) for n in names
+    ])))
+    return records.select("model", F.inline(F.concat(overall, labels))).filter(F.col("value").isNotNull())
 
 
 def read_flat_document(spark: SparkSession, path: str, model: str) -> DataFrame:
