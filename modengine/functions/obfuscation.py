@@ -23,7 +23,7 @@ def _chars(c: Column) -> Column:
 
 
 def _bits(c: Column, key, salt: str) -> Column:
-    return _chars(symbol_stream(key, salt, F.char_length(c), 2))
+    return _chars(symbol_stream(key, salt, F.char_length(c), "01"))
 
 
 def _choose(a: Column, b: Column, bits: Column) -> Column:
@@ -34,7 +34,7 @@ def _choose(a: Column, b: Column, bits: Column) -> Column:
 
 def _append(c: Column, key, salt: str, symbols: Sequence[str]) -> Column:
     """One of five symbols after every character."""
-    drawn = F.translate(symbol_stream(key, salt, F.char_length(c), 5), "01234", "".join(symbols))
+    drawn = symbol_stream(key, salt, F.char_length(c), symbols)
     with_symbol = F.zip_with(
         _chars(c), _chars(drawn), lambda ch, s: F.when(ch == "\n", ch).otherwise(F.concat(ch, s))
     )

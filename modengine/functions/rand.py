@@ -7,12 +7,9 @@ the same on any layout.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-# Symbols that one digest yields: 60 bits, cut so that base-5 digits are
-# uniform to within 1e-4.
-_SYMBOLS_PER_DIGEST = {2: 60, 5: 20}
+from collections.abc import Sequence
 
+from pyspark.sql import Column, functions as F
 
 def _as_col(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
@@ -33,17 +30,25 @@ def det_index(key, salt, n) -> Column:
     return F.floor(det_rand(key, salt) * n).cast("long")
 
 
-def symbol_stream(key, salt, n: Column, base: int) -> Column:
-    """String of ``n`` digits drawn uniformly from 0..base-1, for base 2 or 5.
+_HEX = "0123456789abcdef"
 
-    One digest serves 60 (base 2) or 20 (base 5) characters, which is what
-    keeps per-character attacks affordable on long texts.
-    """
-    width = _SYMBOLS_PER_DIGEST[base]
 
-    def block(b):
-        digits = F.conv(F.substring(hash_hex(key, salt, b), 1, 15), 16, base)
-        return F.right(F.lpad(digits, 60, "0"), F.lit(width))
+def symbol_stream(key, salt: str, n: Column, symbols: Sequence[str]) -> Column:
+    """String of ``n`` symbols drawn uniformly.
 
-    last = F.greatest(F.ceil(n / width).cast("int") - 1, F.lit(0))
-    return F.left(F.array_join(F.transform(F.sequence(F.lit(0), last), block), ""), n)
+    The hex digits of a row of digests are translated to symbols, every symbol
+    having the same number of digits; digits left over are dropped. One digest
+    so serves about 30 characters, and no step works per character but
+    ``translate``. With digits to drop, spare digests are drawn; should even
+    those not do, the first symbol fills up.
+    """
+    share = len(_HEX) // len(symbols)
+    image = "".join(s * share for s in symbols)
+    exact = share * len(symbols) == len(_HEX)
+    blocks = F.ceil(n / (32 if exact else 28)).cast("int") + (0 if exact else 1)
+    prefix = F.concat_ws(":", _as_col(key).cast("string"), F.lit(salt), F.lit(""))
+    digests = F.transform(
+        F.sequence(F.lit(1), F.greatest(blocks, F.lit(1))), lambda b: F.md5(F.concat(prefix, b.cast("string")))
+    )
+    drawn = F.translate(F.array_join(digests, ""), _HEX, image)
+    return F.left(drawn if exact else F.concat(drawn, F.repeat(F.lit(symbols[0]), n)), n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as Wd, functions as F
 
 from ..functions import lexicon, tags
 from ..functions.text import normalize_obfuscation
@@ -97,22 +97,11 @@ def evaluate_resilience(scores: DataFrame, model_a: str, model_b: str, nested: b
 def resilience_ratio(preds: DataFrame, by: str = "pattern", clean: str | int = "original", extra: Sequence[str] = ()) -> DataFrame:
     """Macro F1 per attack and its ratio to the macro F1 of the clean rows."""
     extra = list(extra)
+    # One row per attack is left, so the window over them is small.
     f1 = macro_micro(preds, [*extra, by]).select(*extra, by, "f1_macro")
-    base = f1.filter(F.col(by) == clean).select(*extra, F.col("f1_macro").alias("f1_clean"))
-    if extra:
-        joined = join_null_safe(f1, base, extra, "left")
-    else:
-        joined = f1.withColumn("f1_clean", base.scalar())
-    return joined.withColumn("resilience", F.try_divide("f1_macro", "f1_clean"))
-
-
-def weak_predictions(df: DataFrame, key: Sequence[str], text_col: str, out: str) -> DataFrame:
-    """Keyword labels of a text as rows (key…, label, out)."""
-    low = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    found = low.withColumns(tags.weak_label_columns(F.col("_low")))
-    return found.select(*key, F.inline(F.array(*[
-        F.struct(F.lit(l).alias("label"), F.col(l).alias(out)) for l in lexicon.LABELS
-    ])))
+    whole = Wd.partitionBy(*(extra or [F.lit(0)]))
+    f1 = f1.withColumn("f1_clean", F.max(F.when(F.col(by) == clean, F.col("f1_macro"))).over(whole))
+    return f1.withColumn("resilience", F.try_divide("f1_macro", "f1_clean"))
 
 
 def attack_predictions(attacked: DataFrame, key: Sequence[str], original: str = "text", col: str = "attacked") -> DataFrame:

@@ -23,17 +23,22 @@ def _chars(t: str) -> str:
     return f"regexp_extract_all({t}, '(?s).')"
 
 
-def _stream(t: str, key: str, salt: str, base: int) -> str:
-    width = {2: 60, 5: 20}[base]
-    digits = f"to_base(('0x' || substr(md5(concat_ws(':', {key}, {q(salt)}, b)), 1, 15))::BIGINT, {base})"
-    blocks = f"range(0, greatest(ceil(length({t}) / {width}::DOUBLE)::BIGINT, 1))"
-    return f"list_transform({blocks}, lambda b: right(lpad({digits}, 60, '0'), {width}))"
-
-
-def _zipped(t: str, key: str, salt: str, base: int, each: str) -> str:
+def _stream(t: str, key: str, salt: str, symbols) -> str:
+    """As many random symbols as ``t`` has characters."""
+    share = 16 // len(symbols)
+    exact = share * len(symbols) == 16
+    blocks = f"greatest(ceil(length({t}) / {32 if exact else 28}::DOUBLE)::BIGINT + {0 if exact else 1}, 1)"
+    digests = f"list_transform(range(1, {blocks} + 1), lambda b: md5(concat_ws(':', {key}, {q(salt)}, b)))"
+    image = q("".join(s * share for s in symbols))
+    drawn = f"translate(array_to_string({digests}, ''), '0123456789abcdef', {image})"
+    return f"left({drawn if exact else f'{drawn} || repeat({q(symbols[0])}, length({t}))'}, length({t}))"
+
+
+def _zipped(t: str, key: str, salt: str, symbols, each: str) -> str:
     """``each`` per character z[1] with its symbol z[2]."""
-    symbols = f"string_split(left(array_to_string({_stream(t, key, salt, base)}, ''), length({t})), '')"
-    return f"array_to_string(list_transform(list_zip({_chars(t)}, {symbols}), lambda z: {each}), '')"
+    return (
+        f"array_to_string(list_transform(list_zip({_chars(t)}, {_chars(_stream(t, key, salt, symbols))}), lambda z: {each}), '')"
+    )
 
 
 def _map(value: str, pairs: dict[str, str]) -> str:
@@ -41,15 +46,14 @@ def _map(value: str, pairs: dict[str, str]) -> str:
 
 
 def _append(t: str, key: str, salt: str, symbols) -> str:
-    drawn = _map("z[2]", {str(i): s for i, s in enumerate(symbols)})
-    return _zipped(t, key, salt, 5, f"CASE WHEN z[1] = chr(10) THEN z[1] ELSE z[1] || {drawn} END")
+    return _zipped(t, key, salt, symbols, "CASE WHEN z[1] = chr(10) THEN z[1] ELSE z[1] || z[2] END")
 
 
 def _leet(t: str, key: str) -> str:
     first = {a: v[0] for a, v in lexicon.LEET.items()}
     last = {a: v[-1] for a, v in lexicon.LEET.items()}
     pick = f"coalesce(CASE WHEN z[2] = '1' THEN {_map('z[1]', last)} ELSE {_map('z[1]', first)} END, z[1])"
-    return _zipped(t, key, "leetspeak", 2, pick)
+    return _zipped(t, key, "leetspeak", "01", pick)
 
 
 def _words(t: str, key: str) -> str:
@@ -66,11 +70,11 @@ SQL_ATTACKS = {
     "leetspeak": _leet,
     "space_injection": lambda t, k: sub(t, r"([^\n])", r"\1 "),
     "char_repetition": lambda t, k: _zipped(
-        t, k, "char_repetition", 2,
+        t, k, "char_repetition", "01",
         "CASE WHEN z[1] = chr(10) THEN z[1] WHEN z[2] = '1' THEN repeat(z[1], 3) ELSE repeat(z[1], 2) END"),
     "special_chars": lambda t, k: _append(t, k, "special_chars", lexicon.SPECIAL_CHARS),
     "case_variation": lambda t, k: _zipped(
-        t, k, "case_variation", 2,
+        t, k, "case_variation", "01",
         f"CASE WHEN z[2] = '1' THEN translate(z[1], '{_ASCII}', '{_ASCII.upper()}') "
         f"ELSE translate(z[1], '{_ASCII.upper()}', '{_ASCII}') END"),
     # The texts hold letters only that compose alike one by one.

@@ -39,10 +39,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than there are cores.
+
+    The test files hold one row group, i.e. one task, and the attacks are CPU
+    work. A large table has splits enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): every document with its ending."""
     ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % len(ENDINGS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "text", ending).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", F.concat_ws(" ", "text", ending).alias("text"))
 
 
 def labelled(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
