@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import lexicon
 from ..functions.obfuscation import obfuscate, obfuscate_by
 from ..functions.rand import det_rand, hash_hex, det_index
+from .cleaning import computed_once
 from .ranking import ranked
 
 ATTACK_COLUMNS = ["text", "original_text", "pattern", "class", "is_toxic", "confidence", "obfuscation_level"]
@@ -16,7 +17,7 @@ ATTACK_COLUMNS = ["text", "original_text", "pattern", "class", "is_toxic", "conf
 
 def obfuscated(df: DataFrame, col: str, key: str, pattern: str, out: str | None = None) -> DataFrame:
     """The table with one text column attacked."""
-    return df.withColumn(out or col, obfuscate(F.col(col), F.col(key), pattern))
+    return computed_once(df.withColumn(out or col, obfuscate(F.col(col), F.col(key), pattern)), out or col)
 
 
 def obfuscation_variants(
@@ -29,7 +30,8 @@ def obfuscation_variants(
     """
     names = F.array(*[F.lit(p) for p in ["original", *patterns]])
     fanned = df.withColumn("pattern", F.explode(names))
-    return fanned.withColumn(out, obfuscate_by(F.col(col), F.col(key), F.col("pattern"), patterns))
+    attacked = fanned.withColumn(out, obfuscate_by(F.col(col), F.col(key), F.col("pattern"), patterns))
+    return computed_once(attacked, out)
 
 
 def _drawn_patterns(key: Column, patterns: Sequence[str]) -> Column:
@@ -59,7 +61,9 @@ def attack_rows(
         chosen = F.try_element_at("_names", F.lit(stage))
         stage_key = F.concat(F.col("_key"), F.lit(f":{stage}"))
         rows = rows.withColumn("_k", stage_key).withColumn("_p", F.coalesce(chosen, F.lit("none")))
-        rows = rows.withColumn("text", obfuscate_by(F.col("text"), F.col("_k"), F.col("_p"), patterns))
+        attacked = obfuscate_by(F.col("text"), F.col("_k"), F.col("_p"), patterns)
+        # Inlined into the next stage, each stage would be copied many times.
+        rows = computed_once(rows.withColumn("text", attacked), "text")
     sure = det_rand(F.col("_key"), "confidence")
     return rows.select(
         "base_id", "variant", "text", "original_text",
