@@ -98,10 +98,8 @@ def fit_multilabel(
     settings = {**DEFAULT_PARAMS, **(params or {})}
 
     def fit(label: str) -> PipelineModel:
-        gbt = GBTClassifier(
-            featuresCol=features, labelCol=label, seed=seed, rawPredictionCol="_raw", probabilityCol="_prob",
-            predictionCol="_pred", **settings,
-        )
+        gbt = GBTClassifier(featuresCol=features, labelCol=label, seed=seed, predictionCol="_pred", **settings)
+        gbt.setRawPredictionCol("_raw").setProbabilityCol("_prob")
         return Pipeline(stages=[gbt]).fit(df.filter(F.col(label) >= 0).select(features, label))
 
     return _on_labels(fit, labels, parallelism)
@@ -113,21 +111,21 @@ def fit_weighted_linear(
 ) -> dict[str, PipelineModel]:
     """One class-weighted logistic text model per label: hashed term frequencies
     with inverse document frequencies, positives weighted by negatives / positives."""
-    words = df.withColumn("_words", text.tokens(F.col(col)))
-    weights = {r["label"]: r["w"] for r in _pos_weight_rows(df, labels)}
+    # Cleaning and features once for all labels and passes, not once per pass.
+    words = df.select(text.tokens(F.col(col)).alias("_words"), *labels)
+    tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim)
+    counted = cut_lineage(tf.transform(words).drop("_words"))
+    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted)
+    rows = idf.transform(counted).drop("_tf")
+    weights = {r["label"]: r["w"] for r in _pos_weight_rows(counted, labels)}
 
     def fit(label: str) -> PipelineModel:
-        rows = words.filter(F.col(label) >= 0).withColumn(
-            "_weight", F.when(F.col(label) == 1, F.lit(float(weights[label] or 1.0))).otherwise(F.lit(1.0))
-        )
-        stages = [
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim), IDF(inputCol="_tf", outputCol="_tfidf"),
-            LogisticRegression(
-                featuresCol="_tfidf", labelCol=label, weightCol="_weight", maxIter=max_iter, regParam=reg,
-                rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred",
-            ),
-        ]
-        return Pipeline(stages=stages).fit(rows.select("_words", label, "_weight"))
+        weight = F.when(F.col(label) == 1, F.lit(float(weights[label] or 1.0))).otherwise(F.lit(1.0))
+        lr = LogisticRegression(
+            featuresCol="_tfidf", labelCol=label, weightCol="_weight", maxIter=max_iter, regParam=reg,
+            rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred",
+        ).fit(rows.filter(F.col(label) >= 0).select("_tfidf", label, weight.alias("_weight")))
+        return PipelineModel([tf, idf, lr])
 
     return _on_labels(fit, labels, parallelism)
 
@@ -147,13 +145,17 @@ def predict_long(
     """Positive-class probabilities as rows (id, model, label, y, p).
 
     All models score the row before it is turned into rows, so the input is read
-    once and not once per label.
+    once and not once per label, and stages that models share run once.
     """
     if text_col is not None:
         df = df.withColumn("_words", text.tokens(F.col(text_col)))
+    done = set()
     for label, model in models.items():
-        df = model.transform(df).withColumn(f"_p_{label}", vector_to_array("_prob")[1])
-        df = df.drop(*[c for c in df.columns if c in ("_raw", "_prob", "_pred", "_tf", "_tfidf")])
+        for stage in model.stages:
+            if stage.uid not in done:
+                df = stage.transform(df)
+                done.add(stage.uid)
+        df = df.withColumn(f"_p_{label}", vector_to_array("_prob")[1]).drop("_raw", "_prob", "_pred")
     truth = lambda l: F.coalesce(F.col(l).cast("int"), F.lit(-1)) if l in df.columns else F.lit(-1)
     rows = F.array(*[
         F.struct(F.lit(l).alias("label"), truth(l).alias("y"), F.col(f"_p_{l}").alias("p")) for l in models
