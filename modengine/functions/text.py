@@ -163,7 +163,8 @@ def normalize_obfuscation(c: Column) -> Column:
 
 def n_tokens(c: Column) -> Column:
     """Number of white-space separated words; 0 for null and empty."""
-    return F.coalesce(F.regexp_count(c, F.lit(rf"[^{S}]+")), F.lit(0))
+    words = F.filter(F.split(text_or_empty(c), f"[{S}]+"), lambda t: t != "")
+    return F.size(words)
 
 
 def truncate_tokens(c: Column, n: int) -> Column:

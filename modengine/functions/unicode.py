@@ -55,8 +55,11 @@ def ascii_fold(c: Column) -> Column:
     # One literal for the whole map: folded once, and cheap to ship in the plan.
     long_image = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")
     spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(long_image[ch], ch)), "")
-    # Translate and spell-out only where such a character occurs at all.
-    expanded = F.when(c.rlike(_char_class(multi)), spelled).otherwise(c)
+    # Spell out only where such a character occurs at all. The full class is slow
+    # to test, so a class of a few ranges that holds it is tested first.
+    first = min(ch for ch in multi if ch > "\xff")
+    likely = _char_class([ch for ch in multi if ch <= "\xff"])[:-1] + f"\\x{{{ord(first):x}}}-\\x{{10ffff}}]"
+    expanded = F.when(c.rlike(likely) & c.rlike(_char_class(multi)), spelled).otherwise(c)
     folded = F.translate(expanded, "".join(single), "".join(single.values()))
     return F.when(is_ascii(c), c).otherwise(F.regexp_replace(folded, r"[^\x00-\x7f]+", ""))
 
