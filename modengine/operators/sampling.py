@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicon
 from ..functions.rand import det_index, hash_hex
+from ..sources.checkpoint import cut_lineage
 from .ranking import ranked
 
 
@@ -33,12 +35,18 @@ def oversample(
     Later labels draw from the table as grown by earlier ones. ``copy`` tells
     the rows apart: empty for an original, else the path of draws that led here.
     """
-    grown = df.withColumn("copy", F.lit(""))
+    originals = df.withColumn("copy", F.lit(""))
+    # Draws look at rare rows only. These and the copies are written once, so the
+    # full table is read twice in all and not once per label and step.
+    rare = reduce(lambda a, b: a | b, [F.col(label) == 1 for label in labels])
+    pool = cut_lineage(originals.filter(rare))
+    grown = originals
     for label in labels:
-        positives = grown.filter(F.col(label) == 1)
+        positives = pool.filter(F.col(label) == 1)
         drawn = draw_with_replacement(positives, [key, "copy"], n, f"{seed}:{label}", "_draw")
-        copies = drawn.withColumn("copy", F.concat("copy", F.lit(f"/{label}:"), F.col("_draw").cast("string")))
-        grown = grown.unionByName(copies.drop("_draw"))
+        path = F.concat("copy", F.lit(f"/{label}:"), F.col("_draw").cast("string"))
+        copies = cut_lineage(drawn.withColumn("copy", path).drop("_draw"))
+        pool, grown = pool.unionByName(copies), grown.unionByName(copies)
     return grown
 
 
