@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_dedup
+from . import packing, simhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -31,3 +37,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("op2_simhash_dedup")
 def op2_simhash_dedup(spark: SparkSession, d: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, d, "documents"))
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
