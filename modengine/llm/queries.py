@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash_dedup
+from . import line_dedup, packing, simhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,3 +42,43 @@ def op2_simhash_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("op7_packing")
 def op7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+_ENOUGH = 10
+_OP1_SQL = f"""
+WITH lines AS (
+    SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS p, unnest(string_split(text, chr(10))) AS raw FROM documents
+), units AS (
+    SELECT doc_id, p, raw, trim(raw, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS line,
+        sum((trim(raw, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '')::INT) OVER (PARTITION BY doc_id ORDER BY p) AS u
+    FROM lines
+), named AS (
+    SELECT doc_id, u, line, len(regexp_extract_all(line, '\\S+')) AS w,
+        sum(len(regexp_extract_all(line, '\\S+'))) OVER (PARTITION BY doc_id ORDER BY u) AS c
+    FROM units WHERE line <> ''
+), blocks AS (
+    SELECT a.doc_id, a.u AS s, min(e.u) AS e FROM named a JOIN named e
+        ON a.doc_id = e.doc_id AND e.u BETWEEN a.u AND a.u + {_ENOUGH} AND e.c - a.c + a.w >= {_ENOUGH} GROUP BY a.doc_id, a.u
+    UNION
+    SELECT e.doc_id, max(a.u) AS s, e.u AS e FROM named a JOIN named e
+        ON a.doc_id = e.doc_id AND e.u BETWEEN a.u AND a.u + {_ENOUGH} AND e.c - a.c + a.w >= {_ENOUGH} GROUP BY e.doc_id, e.u
+), content AS (
+    SELECT b.doc_id, b.s, b.e, list(n.line ORDER BY n.u) AS body
+    FROM blocks b JOIN named n ON n.doc_id = b.doc_id AND n.u BETWEEN b.s AND b.e GROUP BY ALL
+), ranked AS (
+    SELECT doc_id, s, e, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS r FROM content
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(generate_series(s::BIGINT, e::BIGINT)) AS u FROM ranked WHERE r > 1
+), kept AS (
+    SELECT t.doc_id, rtrim(coalesce(string_agg(raw, chr(10) ORDER BY p) FILTER (g.u IS NULL), ''), chr(10)) AS text
+    FROM units t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.u = t.u GROUP BY t.doc_id
+), removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(r.n, 0) AS n_removed_lines, CASE WHEN r.n IS NULL THEN d.text ELSE k.text END AS text
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN removed r ON r.doc_id = d.doc_id
+"""
+
+
+@query("op1_line_dedup", _OP1_SQL)
+def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, min_words=_ENOUGH).select("doc_id", "n_removed_lines", "text")
