@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, simhash_dedup
+from . import line_dedup, packing, quality_rules, sharding, simhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,3 +82,76 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN removed r ON
 def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, min_words=_ENOUGH).select("doc_id", "n_removed_lines", "text")
+
+
+_OP3_MEASURES = "word_length symbols dup_lines repeat_words".split()
+_OP3_SQL = """
+WITH words AS (
+    SELECT doc_id, coalesce(lang, '<null>') AS lang, coalesce(source, '<null>') AS source, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+    FROM documents
+), starts AS (
+    SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM words WHERE len(ws) >= 5
+), again AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i+4]) AS n FROM starts
+), repeated AS (
+    SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS k FROM again WHERE n > 1) GROUP BY 1
+), base AS (
+    SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+    FROM words w LEFT JOIN repeated r ON r.doc_id = w.doc_id
+), measured AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        CASE WHEN n_words > 0 THEN 100 * word_chars // n_words END AS word_length,
+        CASE WHEN n_words > 0 THEN 1000 * n_symbols // word_chars END AS symbols,
+        CASE WHEN n_words > 0 THEN 1000 * n_dup_lines // n_lines END AS dup_lines,
+        CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words END AS repeat_words
+    FROM base
+), long AS (
+    SELECT lang, source, u.m, u.v FROM (SELECT lang, source, unnest([%s]) AS u FROM measured WHERE NOT base_failed)
+), sketch AS (
+    SELECT lang, source, m, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bin, count(*) AS n FROM long GROUP BY ALL
+), levels AS (
+    SELECT lang, source, m, bin, sum(n) AS n, grouping(lang, source) AS g FROM sketch
+    GROUP BY GROUPING SETS ((lang, source, m, bin), (lang, m, bin), (m, bin))
+), run AS (
+    SELECT *, sum(n) OVER (PARTITION BY g, lang, source, m ORDER BY bin) AS c, sum(n) OVER (PARTITION BY g, lang, source, m) AS t FROM levels
+), q AS (
+    SELECT g, lang, source, m, max(t) AS t, min(bin) FILTER (4 * c >= t) AS q1, min(bin) FILTER (4 * c >= 3 * t) AS q3 FROM run GROUP BY ALL
+), chosen AS (
+    SELECT g.lang, g.source, g.m, CASE WHEN a.t >= 100 THEN a.q1 WHEN b.t >= 100 THEN b.q1 ELSE c.q1 END AS q1,
+        CASE WHEN a.t >= 100 THEN a.q3 WHEN b.t >= 100 THEN b.q3 ELSE c.q3 END AS q3
+    FROM (SELECT DISTINCT lang, source, unnest([%s]) AS m FROM measured) g
+    LEFT JOIN q a ON a.g = 0 AND a.lang = g.lang AND a.source = g.source AND a.m = g.m
+    LEFT JOIN q b ON b.g = 1 AND b.lang = g.lang AND b.m = g.m LEFT JOIN q c ON c.g = 3 AND c.m = g.m
+), fence AS (
+    SELECT lang, source, m, q1 - 2 * (q3 - q1) AS low, q3 + 2 * (q3 - q1) AS high FROM chosen
+), failed AS (
+    SELECT d.doc_id, %s AS failed FROM measured d %s
+)
+SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed
+FROM measured d JOIN failed f ON f.doc_id = d.doc_id
+""" % (
+    ", ".join(f"{{'m': '{m}', 'v': {m}}}" for m in _OP3_MEASURES),
+    ", ".join(f"'{m}'" for m in _OP3_MEASURES),
+    "concat_ws(',', " + ", ".join(
+        f"CASE WHEN {m.name} > greatest(f{k}.high, {m.floor})" + (f" OR {m.name} < least(f{k}.low, {m.lower})" if m.lower is not None else "")
+        + f" THEN '{m.name}' END" for k, m in enumerate(quality_rules.MEASURES)
+    ) + ")",
+    " ".join(
+        f"LEFT JOIN fence f{k} ON f{k}.lang = d.lang AND f{k}.source = d.source AND f{k}.m = '{m.name}'"
+        for k, m in enumerate(quality_rules.MEASURES)
+    ),
+)
+
+
+@query("op3_quality_rules", _OP3_SQL)
+def op3_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, d, "documents"))
+
+
+@query("op10_sharding")
+def op10_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shard(table(spark, d, "documents"))
