@@ -48,7 +48,7 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def numbered(df: DataFrame, by: Sequence[str], spread: Column, order: Sequence[str], out: str, per_bucket: int = 50_000) -> DataFrame:
+def numbered(df: DataFrame, by: Sequence[str], spread: Column, order: Sequence[str | Column], out: str, per_bucket: int = 50_000) -> DataFrame:
     """0-based gapless number of every row in its group, without a window over
     the group: rows fall into buckets by ``spread`` (a uniform double in [0, 1)
     drawn from the row), as many as the group's count asks for; a window numbers

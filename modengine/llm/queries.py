@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, quality_rules, sharding, simhash_dedup
+from . import line_dedup, packing, quality_rules, sharding, simhash_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,3 +155,22 @@ def op3_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard(table(spark, d, "documents"))
+
+
+_OP4_SQL = """
+WITH fit AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+    FROM fit q JOIN fit c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op4_topk", _OP4_SQL)
+def op4_topk(spark: SparkSession, d: str) -> DataFrame:
+    return topk.top_k(table(spark, d, "embeddings"))

@@ -36,37 +36,41 @@ def _capacity(spark: SparkSession, total: int, shards: int) -> DataFrame:
 def propagate(members: DataFrame, shards: int, room: int, rounds: int = 4) -> DataFrame:
     """(grp, shard, n) after the rounds, from (grp, shard, n); ``room`` is how many
     rows a shard may hold while labels move."""
-    labels = members
+    labels = members.withColumn("h", F.xxhash64("grp", "shard"))
     for step in range(rounds):
         held = labels.groupBy("shard").agg(F.sum("n").alias("held"))
-        # The most members win; equal counts go to the shard with the smaller hash,
-        # so that ties do not all pile up in the first shard.
-        best = labels.groupBy("grp").agg(
-            F.max(F.struct("n", F.xxhash64("grp", "shard").alias("h"), "shard")).alias("best"), F.sum("n").alias("all"),
-        ).filter(F.col("best.n") < F.col("all"))
+        # The most members win among the shards with room; of equal counts the one
+        # with the larger hash, so that ties do not pile up in one shard. Only
+        # members in shards that hold fewer move: full shards keep what they have.
+        sides = labels.join(held, "shard").groupBy("grp").agg(
+            F.collect_list(F.struct("n", "h", "shard", (F.col("held") < room).alias("open"))).alias("sides"),  # at most one for each shard
+        )
+        best = sides.withColumn("best", F.array_max(F.filter("sides", lambda x: x["open"]))).filter("best is not null")
+        fewer = F.filter("sides", lambda x: x < F.col("best"))
         asks = best.select(
-            "grp", F.col("best.shard").alias("shard"), (F.col("all") - F.col("best.n")).alias("wants"),
-        ).withColumns({"slice": F.floor(_uniform("grp") * 4096).cast("int")})
+            "grp", F.col("best.shard").alias("shard"), F.col("best.n").alias("best_n"), F.col("best.h").alias("best_h"),
+            F.aggregate(fewer, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("wants"),
+        ).filter("wants > 0").withColumn("slice", F.floor(_uniform("grp") * 4096).cast("int"))
         # Running sums in two steps: slices of a shard, then groups inside a slice.
         sums = asks.groupBy("shard", "slice").agg(F.sum("wants").alias("w"))
         over = Wd.partitionBy("shard").orderBy("slice").rowsBetween(Wd.unboundedPreceding, -1)
         starts = sums.select("shard", "slice", F.coalesce(F.sum("w").over(over), F.lit(0)).alias("before"))
         inside = Wd.partitionBy("shard", "slice").orderBy("grp").rowsBetween(Wd.unboundedPreceding, -1)
         queue = asks.join(starts, ["shard", "slice"]).withColumn("before", F.col("before") + F.coalesce(F.sum("wants").over(inside), F.lit(0)))
-        quota = queue.join(held, "shard", "left").withColumn("free", F.lit(room) - F.coalesce("held", F.lit(0)) - F.col("before"))
-        moves = quota.withColumn("take", F.greatest(F.lit(0), F.least("wants", "free"))).filter("take > 0")
-        moves = moves.select("grp", F.col("shard").alias("to"), "take")
-        # Members leave their shards in order until ``take`` of them have moved.
+        quota = queue.join(held, "shard").withColumn("free", F.lit(room) - F.col("held") - F.col("before"))
+        moves = quota.withColumn("take", F.least("wants", "free")).filter("take > 0")
+        moves = written(moves.select("grp", F.col("shard").alias("to"), "best_n", "best_h", "take"))
+        # Members leave the shards that hold fewest until ``take`` of them have moved.
         joined = labels.join(moves, "grp", "left")
-        others = Wd.partitionBy("grp").orderBy(F.col("n"), "shard").rowsBetween(Wd.unboundedPreceding, -1)
-        away = F.when(F.col("shard") != F.col("to"), F.col("n")).otherwise(0)
-        gone = joined.withColumn("seen", F.coalesce(F.sum(away).over(others), F.lit(0)))
-        leave = F.when(F.col("to").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(away, F.col("take") - F.col("seen"))))
-        kept = gone.withColumn("leave", leave.cast("long"))
-        stay = kept.select("grp", "shard", (F.col("n") - F.col("leave")).alias("n"))
-        come = moves.select("grp", F.col("to").alias("shard"), F.col("take").cast("long").alias("n"))
-        labels = written(stay.unionByName(come).groupBy("grp", "shard").agg(F.sum("n").alias("n")).filter("n > 0"))
-    return labels
+        before = Wd.partitionBy("grp").orderBy("n", "h").rowsBetween(Wd.unboundedPreceding, -1)
+        less = (F.col("n") < F.col("best_n")) | ((F.col("n") == F.col("best_n")) & (F.col("h") < F.col("best_h")))
+        away = F.when(less, F.col("n")).otherwise(0)
+        seen = joined.withColumn("seen", F.coalesce(F.sum(away).over(before), F.lit(0)))
+        leave = F.greatest(F.lit(0), F.least(away, F.coalesce("take", F.lit(0)) - F.col("seen")))
+        stay = seen.select("grp", "shard", (F.col("n") - leave).alias("n"), "h")
+        come = moves.select("grp", F.col("to").alias("shard"), F.col("take").alias("n"), F.col("best_h").alias("h"))
+        labels = written(stay.unionByName(come).groupBy("grp", "shard", "h").agg(F.sum("n").alias("n")).filter("n > 0"))
+    return labels.drop("h")
 
 
 def shard(
@@ -109,7 +113,7 @@ def shard(
     # Even counts: rows beyond a shard's size fill the gaps of the others in turn.
     spread = F.when(F.col("linked") == 1, _uniform("grp") * F.col("share")).otherwise(F.col("share") + _uniform("id", "grp") * (1 - F.col("share")))
     share = placed.groupBy("shard").agg(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.avg("linked"))).alias("share"))
-    ordered = numbered(placed.join(share, "shard"), ["shard"], spread, ["linked", "grp", "id"], "slot")
+    ordered = numbered(placed.join(share, "shard"), ["shard"], spread, [F.desc("linked"), "grp", "id"], "slot")
     return _even(spark, written(ordered.drop("share")), total, shards, id_col)
 
 
