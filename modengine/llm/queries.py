@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import line_dedup, packing, quality_rules, sharding, simhash_dedup, topk
+from . import line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -174,3 +174,46 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 @query("op4_topk", _OP4_SQL)
 def op4_topk(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_k(table(spark, d, "embeddings"))
+
+
+def domain_of_source() -> Column:
+    """The tables name no domain: sources form four by their number."""
+    return F.concat(F.lit("d"), (F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1).try_cast("int") % 4).cast("string"))
+
+
+def _divide_sql(source: str, family: str, budget: str, out: str, keys: str) -> str:
+    of = f"PARTITION BY {family}" if family else ""
+    order = f"({of} ORDER BY full_at, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return (
+        f"SELECT {keys}, sum, greatest(CASE WHEN lev IS NULL THEN cap ELSE least(cap, floor(lev * w)) END, 0)::BIGINT AS {out} FROM ("
+        f"SELECT *, first_value(CASE WHEN open THEN l END) OVER ({of} ORDER BY open DESC, full_at, node ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lev FROM ("
+        f"SELECT *, l < full_at AS open FROM (SELECT *, ({budget} - coalesce(sum(cap) OVER {order}, 0)::DOUBLE) / "
+        f"(sum(w) OVER ({of}) - coalesce(sum(w) OVER {order}, 0)) AS l FROM (SELECT *, cap / w AS full_at FROM {source}))))"
+    )
+
+
+_UP = "(SELECT {k}, sum(tokens * 2) AS cap, sum(tokens) AS sum, pow(sum(tokens)::DOUBLE, 0.7) AS w, {n} AS node FROM leaves GROUP BY {k})"
+_AT = "(('0x' || substr(h, 1, 8))::BIGINT::DOUBLE / 4294967296.0)"
+_OP5_SQL = f"""
+WITH docs AS (
+    SELECT doc_id, coalesce('d' || (try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS INT) % 4), '') AS domain, coalesce(lang, '') AS lang,
+        coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 AS n_tokens
+    FROM documents
+), leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM docs GROUP BY ALL),
+tops AS ({_divide_sql("(SELECT *, (SELECT sum(tokens) FROM leaves)::DOUBLE AS b0 FROM " + _UP.format(k="domain", n="domain") + ")", "", "b0", "b1", "domain")}),
+langs AS ({_divide_sql("(SELECT u.*, b1 FROM " + _UP.format(k="domain, lang", n="lang") + " u JOIN tops USING (domain))", "domain", "b1", "b2", "domain, lang")}),
+ends AS ({_divide_sql("(SELECT u.*, b2 FROM " + _UP.format(k="domain, lang, source", n="source") + " u JOIN langs USING (domain, lang))", "domain, lang", "b2", "budget", "domain, lang, source")}),
+given AS (SELECT domain, lang, source, floor(budget / sum)::INT AS whole, budget % sum AS rest FROM ends),
+joined AS (SELECT * FROM docs JOIN given USING (domain, lang, source)),
+last AS (
+    SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead
+    FROM (SELECT *, md5(concat_ws(':', '17', whole::VARCHAR, doc_id::VARCHAR)) AS h FROM joined WHERE rest > 0)
+)
+SELECT doc_id, domain, lang, source, unnest(generate_series(0, whole - 1))::INT AS epoch, n_tokens FROM joined WHERE whole > 0
+UNION ALL SELECT doc_id, domain, lang, source, whole AS epoch, n_tokens FROM last WHERE coalesce(ahead, 0) < rest
+"""
+
+
+@query("op5_mixing", _OP5_SQL)
+def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), domain_of_source()).withColumnRenamed("id", "doc_id").drop("th")
