@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, topk
+from . import license_scan, line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -217,3 +217,44 @@ UNION ALL SELECT doc_id, domain, lang, source, whole AS epoch, n_tokens FROM las
 @query("op5_mixing", _OP5_SQL)
 def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), domain_of_source()).withColumnRenamed("id", "doc_id").drop("th")
+
+
+_TEMPLATES = [*license_scan.PHRASES, *license_scan.NOTICES]
+_OP6_SQL = f"""
+WITH templates(template, label, phrase, k, n_t) AS (VALUES {", ".join(f"({n}, '{t.label}', {t.phrase}, {t.k}, {len(t.words)})" for n, t in enumerate(_TEMPLATES))}),
+grams(template, tpos, gram) AS (VALUES {", ".join(f"({n}, {i}, '{' '.join(t.words[i:i + t.k])}')" for n, t in enumerate(_TEMPLATES) for i in range(len(t.words) - t.k + 1))}),
+docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+    FROM documents
+), words AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM docs),
+rolling AS (
+    SELECT doc_id, i - 1 AS pos, array_to_string(ws[i:i+1], ' ') AS gram FROM words UNION ALL
+    SELECT doc_id, i - 1 AS pos, array_to_string(ws[i:i+2], ' ') AS gram FROM words WHERE i + 2 <= len(ws)
+), votes AS (
+    SELECT doc_id, t.template, label, phrase, k, n_t, pos - tpos AS diagonal, list(DISTINCT tpos) AS tpos, min(pos) AS low, max(pos) AS high
+    FROM rolling JOIN grams USING (gram) JOIN templates t USING (template) GROUP BY ALL
+), islands AS (
+    SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM (
+        SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 2, true) AS fresh FROM votes WHERE NOT phrase)
+), spans AS (
+    SELECT doc_id, label, k, n_t, flatten(list(tpos)) AS tpos, min(low) AS low, max(high) + k AS high FROM islands GROUP BY doc_id, template, island, label, k, n_t
+), shares AS (
+    SELECT *, len(list_distinct(flatten(list_transform(tpos, lambda t: generate_series(t, t + k - 1))))) / n_t AS share FROM spans
+), best AS (
+    SELECT doc_id, label, diagonal AS place, 1.0::DOUBLE AS score FROM votes WHERE phrase AND len(tpos) = n_t - k + 1 UNION ALL
+    SELECT doc_id, CASE WHEN share >= 0.8 AND (high - low) * 4 <= n_t * 5 + 8 THEN label END, NULL, share FROM shares
+), found AS (
+    SELECT doc_id, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word,
+        string_agg(DISTINCT CASE WHEN place IS NOT NULL THEN label END, ',' ORDER BY CASE WHEN place IS NOT NULL THEN label END) AS base_labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+    FROM best GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+    coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM docs d LEFT JOIN found f ON f.doc_id = d.doc_id
+"""
+
+
+@query("op6_license_scan", _OP6_SQL)
+def op6_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.scan(table(spark, d, "documents"))
