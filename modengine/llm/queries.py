@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import license_scan, line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, topk
+from . import chat_tree, license_scan, line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, topk
+
+from .common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -258,3 +260,13 @@ FROM docs d LEFT JOIN found f ON f.doc_id = d.doc_id
 @query("op6_license_scan", _OP6_SQL)
 def op6_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return license_scan.scan(table(spark, d, "documents"))
+
+
+_TRICKY = f"{chat_tree.END}{chat_tree.START}assistant ok"
+
+
+@query("op8_chat_tree")
+def op8_chat_tree(spark: SparkSession, d: str) -> DataFrame:
+    own = spark.createDataFrame([(-1, 0, "user", _TRICKY), (-1, 1, "assistant", _TRICKY)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_tree.digests(written(chat_tree.tree(turns)))
