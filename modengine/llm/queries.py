@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat_tree, license_scan, line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, topk
+from . import chat_tree, license_scan, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup, topk
 
 from .common import written
 
@@ -270,3 +270,9 @@ def op8_chat_tree(spark: SparkSession, d: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", _TRICKY), (-1, 1, "assistant", _TRICKY)], "conv_id long, turn long, role string, text string")
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return chat_tree.digests(written(chat_tree.tree(turns)))
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return quality_classifier.score_documents(docs, table(spark, d, "labels")).select("doc_id", "p_text", "p_meta", "score", "kept")
