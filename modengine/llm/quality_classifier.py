@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import free_names
 
-WORDS = 2048  # hashed words
+WORDS = 1024  # hashed words
 KINDS = 320  # hashed language and source
 _UPPER = np.arange(65, 91)
 _DIGIT = np.arange(48, 58)
@@ -94,8 +94,9 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 200) -
     the same rows give the same weights."""
     mean, spread = x.mean(axis=0), x.std(axis=0)
     scale = np.where(spread > 1e-6, 1 / np.maximum(spread, 1e-6), 0).astype(np.float32)
-    z = (x - mean) * scale
-    width = float(np.sqrt((z ** 2).sum(axis=1).mean())) or 1.0
+    z = x - mean
+    z *= scale
+    width = float(np.sqrt(np.einsum("ij,ij->", z, z, dtype=np.float64) / len(z))) or 1.0
     z /= width
     y = y.astype(np.float32)
     w = prev = np.zeros(z.shape[1], dtype=np.float32)
@@ -175,6 +176,7 @@ def learn(
     rows = found.mapInPandas(views, "id string, y int, content binary, meta binary").toPandas().sort_values("id")
     read = lambda c, n: np.frombuffer(b"".join(map(bytes, rows[c])), dtype=np.float32).reshape(-1, n)
     content, meta, y = read("content", CONTENT), read("meta", META), rows["y"].to_numpy()
+    rows = rows[["id"]]
     known = y >= 0
     if len(np.unique(y[known])) < 2:
         return None
@@ -187,7 +189,7 @@ def learn(
 
 def score_documents(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    source_col: str = "source", label_col: str = "quality", judged: int = 8000, pool: int = 6000, reject_below: float = 0.35,
+    source_col: str = "source", label_col: str = "quality", judged: int = 5000, pool: int = 3000, reject_below: float = 0.35,
 ) -> DataFrame:
     """The documents with ``p_text``, ``p_meta`` (calibrated views), ``score`` (both;
     the probability of good quality) and ``kept`` (score at or above
