@@ -44,7 +44,7 @@ def test_line_dedup_edges(edges, nothing):
     assert by_id[1] == [(None, 0)] and by_id[2] == [("", 0)] and by_id[3] == [("   \n\n \t", 0)]
     assert by_id[5] == [(f"{line}\nalpha beta", 1)]
     assert by_id[6] == [("", 2)]  # a run over both lines has the words
-    assert by_id[9] == [("alpha beta\ntail", 1)]
+    assert by_id[9] == [("tail", 2)]  # document 5 holds "alpha beta" before the line as well
     assert by_id[7] == [("word " * 30_000, 0)] * 2  # rows of one document
     assert by_id[11] == [("", 1)] and by_id[10][0][1] == 0
     assert line_dedup.dedup_lines(nothing).count() == 0
