@@ -15,9 +15,10 @@ maximal run with that many words is the union of such blocks inside it, so a
 line goes exactly if a run of enough words over it has an earlier copy. Blocks
 hold at most ``min_words`` lines, which bounds the rounds, whatever the data.
 
-Hot lines: counts are combined before the shuffle, and a class meets its places
-in a plain join, whose large partitions Spark splits. No window spans a class;
-the only windows are over one document.
+Hot lines: counts are combined before the shuffle, and the classes are written
+before they meet their places. Both sides of that join are then plain exchanges,
+so Spark broadcasts few classes and splits large partitions of places. No window
+spans a class; the only windows are over one document.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int)
     ))
 
     # Round 0: the class of a line is the first place where it stands.
-    first = ids.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(_here()).alias("rank")).filter("n > 1").drop("n")
+    first = written(ids.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(_here()).alias("rank")).filter("n > 1").drop("n"))
     live = written(ids.join(first, ["h", "h2"]).select("id", "th", "at", "w", "rank"))
     gone = live.filter((F.col("w") >= min_words) & (F.col("rank") != _here())).select("id", "th", "at")
 
@@ -92,7 +93,7 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int)
         half = 1 << (k - 1)
         # Classes of blocks of 2**k lines from those of their halves.
         pairs = level.withColumn("next", F.max("rank").over(by_place.rangeBetween(half, half))).filter("next is not null")
-        named = pairs.groupBy("rank", "next").agg(F.min(_here()).alias("new"))
+        named = written(pairs.groupBy("rank", "next").agg(F.min(_here()).alias("new")))
         level = written(pairs.join(named, ["rank", "next"]).select("id", "th", "at", F.col("new").alias("rank")))
         # Blocks of 2**k to 2**(k+1)-1 lines: two classed blocks that overlap.
         size = 1 << k
@@ -100,7 +101,7 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int)
         head = join_null_safe(mine, level, ["id", "th", "at"])
         tail = level.select("id", "th", F.col("at").alias("tail_at"), F.col("rank").alias("tail"))
         both = join_null_safe(head.withColumn("tail_at", F.col("at") + F.col("m") - size), tail, ["id", "th", "tail_at"])
-        start = both.groupBy("rank", "tail", "m").agg(F.min(_here()).alias("first"))
+        start = written(both.groupBy("rank", "tail", "m").agg(F.min(_here()).alias("first")))
         copies = both.join(start, ["rank", "tail", "m"]).filter(F.col("first") != _here())
         gone = gone.union(copies.select("id", "th", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("at")))
     return gone.groupBy("id", "th").agg(F.collect_set("at").alias("gone"))
