@@ -64,8 +64,8 @@ LEET = {
 }
 # FIXED: symbols of the special-character and emoji attacks; zero-width space.
 SPECIAL_CHARS = ["*", "#", "@", "$", "%"]
-EMOJI = ["\U0001F621", "\U0001F92C", "\U0001F4A9", "\U0001F44E", "\U0001F922"]
-ZERO_WIDTH = "​"
+EMOJI = ["😡", "🤬", "💩", "👎", "🤢"]
+ZERO_WIDTH = "\u200b"
 
 # FIXED: attack names, in canonical order.
 PATTERNS = [
@@ -119,4 +119,10 @@ LEMMA_EXCEPTIONS = {
     "news": "news", "series": "series", "species": "species",
     "always": "always", "perhaps": "perhaps", "sometimes": "sometimes",
     "lens": "lens", "gas": "gas", "yes": "yes", "las": "las", "los": "los",
+    "bias": "bias", "canvas": "canvas", "atlas": "atlas", "alias": "alias",
+    "christmas": "christmas", "chaos": "chaos", "cosmos": "cosmos", "ethos": "ethos",
+    "specimen": "specimen", "abdomen": "abdomen", "acumen": "acumen", "regimen": "regimen",
+    "heroes": "hero", "potatoes": "potato", "tomatoes": "tomato", "echoes": "echo",
+    "aches": "ache", "headaches": "headache", "caches": "cache", "quizzes": "quiz",
+    "crises": "crisis", "axes": "axe",
 }

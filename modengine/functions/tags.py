@@ -32,7 +32,11 @@ def has_identity(c: Column, mode: str = "substring", terms: Sequence[str] = tupl
 
 def identity_terms_in(c: Column, terms: Sequence[str] = tuple(lexicon.IDENTITY_TERMS)) -> Column:
     """Array of the identity terms that occur in the text, as substrings."""
-    low = F.lower(text_or_empty(c))
+    return terms_in_lowered(F.lower(text_or_empty(c)), terms)
+
+
+def terms_in_lowered(low: Column, terms: Sequence[str] = tuple(lexicon.IDENTITY_TERMS)) -> Column:
+    """The same for a text that is lowered already."""
     return F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in terms]))
 
 

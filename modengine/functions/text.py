@@ -121,7 +121,7 @@ def lemma(t: Column, exceptions: Mapping[str, str] | None = None) -> Column:
     exceptions = lexicon.LEMMA_EXCEPTIONS if exceptions is None else exceptions
     drop1 = F.left(t, F.length(t) - 1)
     drop2 = F.left(t, F.length(t) - 2)
-    sibilant = F.right(t, F.lit(4)).isin("ches", "shes") | F.right(t, F.lit(3)).isin("ses", "xes", "zes")
+    sibilant = F.right(t, F.lit(4)).isin("ches", "shes", "sses", "zzes") | F.endswith(t, F.lit("xes"))
     plural = (
         F.when(F.length(t) < 4, t)
         .when(F.right(t, F.lit(2)).isin("ss", "us", "is"), t)
@@ -129,7 +129,8 @@ def lemma(t: Column, exceptions: Mapping[str, str] | None = None) -> Column:
         .when(sibilant, drop2)
         .otherwise(drop1)
     )
-    ruled = F.when(F.endswith(t, F.lit("s")), plural).otherwise(t)
+    people = F.when(F.endswith(t, F.lit("men")) & (F.length(t) > 5), F.concat(drop2, F.lit("an"))).otherwise(t)
+    ruled = F.when(F.endswith(t, F.lit("s")), plural).otherwise(people)
     if not exceptions:
         return ruled
     table = F.create_map(*[F.lit(x) for kv in exceptions.items() for x in kv])

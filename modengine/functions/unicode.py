@@ -1,8 +1,8 @@
 """Unicode normalization.
 
 ASCII folding is a per-character mapping, so it runs in the JVM from a table
-derived from the Unicode data. Composition (NFKC) is not, so it goes through an
-Arrow UDF; rows that are ASCII already are sent to Python as null, i.e. for
+derived from the Unicode data; so is NFKC of single characters. Composition (NFKC
+of a text) is not, so it goes through an Arrow UDF; rows that are ASCII already are sent to Python as null, i.e. for
 free.
 """
 
@@ -38,6 +38,18 @@ def _fold_table() -> tuple[dict[str, str], dict[str, str]]:
     return single, multi
 
 
+@lru_cache(maxsize=1)
+def _compat_table() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that NFKC changes: one-character and longer images."""
+    single, multi = {}, {}
+    for cp in range(128, sys.maxunicode + 1):
+        ch = chr(cp)
+        image = unicodedata.normalize("NFKC", ch) if unicodedata.decomposition(ch) else ch
+        if image != ch:
+            (single if len(image) == 1 else multi)[ch] = image
+    return single, multi
+
+
 def _char_class(chars) -> str:
     """Regex class of the characters, runs of neighbours as ranges."""
     points = sorted(ord(c) for c in chars)
@@ -49,9 +61,8 @@ def _char_class(chars) -> str:
     return "[" + "".join(out) + "]"
 
 
-def ascii_fold(c: Column) -> Column:
-    """NFKD, then drop what is not ASCII: é gives e, ½ gives 12, ß vanishes."""
-    single, multi = _fold_table()
+def _mapped(c: Column, single: dict[str, str], multi: dict[str, str]) -> Column:
+    """Each character of the tables replaced by its image."""
     # One literal for the whole map: folded once, and cheap to ship in the plan.
     long_image = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")
     spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(long_image[ch], ch)), "")
@@ -60,7 +71,13 @@ def ascii_fold(c: Column) -> Column:
     first = min(ch for ch in multi if ch > "\xff")
     likely = _char_class([ch for ch in multi if ch <= "\xff"])[:-1] + f"\\x{{{ord(first):x}}}-\\x{{10ffff}}]"
     expanded = F.when(c.rlike(likely) & c.rlike(_char_class(multi)), spelled).otherwise(c)
-    folded = F.translate(expanded, "".join(single), "".join(single.values()))
+    return F.translate(expanded, "".join(single), "".join(single.values()))
+
+
+def ascii_fold(c: Column) -> Column:
+    """NFKD, then drop what is not ASCII: é gives e, ½ gives 12, ß vanishes."""
+    single, multi = _fold_table()
+    folded = _mapped(c, single, multi)
     return F.when(is_ascii(c), c).otherwise(F.regexp_replace(folded, r"[^\x00-\x7f]+", ""))
 
 
@@ -69,22 +86,12 @@ def _nfkc_text(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_chars(s: pd.Series) -> pd.Series:
-    # Per character: no composition across neighbours; \n maps to itself.
-    return s.map(lambda t: "".join(unicodedata.normalize("NFKC", ch) for ch in t), na_action="ignore")
-
-
-def _skipping_ascii(udf, c: Column, only: Column | None = None) -> Column:
-    wanted = ~is_ascii(c) if only is None else (~is_ascii(c) & only)
-    return F.coalesce(udf(F.when(wanted, c)), c)
-
-
 def nfkc(c: Column) -> Column:
     """NFKC form of the text."""
-    return _skipping_ascii(_nfkc_text, c)
+    return F.coalesce(_nfkc_text(F.when(~is_ascii(c), c)), c)
 
 
 def nfkc_chars(c: Column, only: Column | None = None) -> Column:
     """NFKC of every character by itself; rows where ``only`` is false are kept."""
-    return _skipping_ascii(_nfkc_chars, c, only)
+    wanted = ~is_ascii(c) if only is None else (~is_ascii(c) & only)
+    return F.when(wanted, _mapped(c, *_compat_table())).otherwise(c)

@@ -74,16 +74,22 @@ def attack_rows(
     )
 
 
-def draw_per_class(base: DataFrame, per_class: int, seed: int = 42) -> DataFrame:
-    """Exactly ``per_class`` rows of every class, drawn with replacement."""
-    placed = ranked(base, hash_hex(seed, F.col("base_id")), ["base_id"], by=["class"], out="_pos", total="_size")
+def draw_per_class(base: DataFrame, per_class: int, seed: int = 42, prefix: int = 4) -> DataFrame:
+    """Exactly ``per_class`` rows of every class, drawn with replacement.
+
+    ``base_id`` names a row. Only ids and classes are ranked (``prefix`` as in
+    ``ranked``); the texts join the few ids that were drawn.
+    """
+    ids = base.select("base_id", "class")
+    placed = ranked(ids, hash_hex(seed, F.col("base_id")), ["base_id"], by=["class"], out="_pos", total="_size", prefix=prefix)
     sizes = placed.groupBy("class").agg(F.max("_size").alias("_size"))
     draws = sizes.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(per_class - 1))))
     spot = det_index(F.concat_ws(":", F.lit(str(seed)), "class", F.col("_draw").cast("string")), "draw", F.col("_size"))
     picked = draws.select("class", "_draw", spot.alias("_pos")).join(placed.drop("_size"), ["class", "_pos"])
-    return picked.withColumn(
+    found = picked.select("base_id", "_draw").join(base, "base_id").select("_draw", *base.columns)
+    return found.withColumn(
         "base_id", F.concat_ws("/", F.col("base_id").cast("string"), F.col("_draw").cast("string"))
-    ).drop("_pos", "_draw")
+    ).drop("_draw")
 
 
 def build_attack_set(base: DataFrame, n: int = 500, seed: int = 42, variants: int = 3) -> DataFrame:

@@ -80,7 +80,7 @@ def lemmatize_with_table(df: DataFrame, key: str, col: str, lemmas: DataFrame, o
     """
     words = df.select(key, F.explode(F.array_distinct(text.tokens(F.col(col)))).alias("word"))
     found = (
-        words.join(lemmas.select("word", "lemma"), "word")
+        words.join(lemmas.groupBy("word").agg(F.min("lemma").alias("lemma")), "word")
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_lemma"))
     )

@@ -7,12 +7,10 @@ starts from counts that are pre-aggregated before the only shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import lexicon
-from .ranking import join_null_safe
 
 COUNTS = ["tp", "fp", "fn", "tn"]
 
@@ -40,20 +38,38 @@ def accuracy_of() -> Column:
 
 # -- predictions --------------------------------------------------------------
 
-def threshold_table(spark: SparkSession, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """Table (label, threshold); the declared defaults if none are given."""
-    values = lexicon.DEFAULT_THRESHOLDS if thresholds is None else thresholds
-    return spark.createDataFrame(list(values.items()), "label string, threshold double")
+LOOKUP_ROWS = 10_000
 
 
-def apply_thresholds(scores: DataFrame, thresholds: DataFrame, op: str = ">") -> DataFrame:
-    """Adds ``pred``. Thresholds are per label, or per any of the score table's
-    other columns they also carry (model, slice). The join's small side is
-    broadcast by Spark when its size allows, else shuffled."""
-    on = [c for c in thresholds.columns if c in scores.columns]
-    joined = join_null_safe(scores, thresholds.select(*on, "threshold"), on, "left")
+def looked_up(rows: DataFrame, table: DataFrame | Mapping[str, float], value: str, max_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Adds ``value`` from a small table without moving a row; null where it has none.
+
+    A mapping from labels is a literal. A table, keyed by the columns it shares with
+    the rows (null is a key like others), folds to one map that Spark computes once,
+    as a scalar subquery. It has one row per key, labels times models by nature;
+    beyond ``max_rows`` the query fails and says so: join such a table on its keys.
+    """
+    if isinstance(table, Mapping):
+        cases = F.lit(None).cast("double")
+        for label, v in table.items():
+            cases = F.when(F.col("label") == label, F.lit(float(v))).otherwise(cases)
+        return rows.withColumn(value, cases)
+    on = [c for c in table.columns if c in rows.columns and c != value]
+    key = F.struct(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in on])
+    # No more than max_rows + 1 rows reach the task that folds them.
+    few = table.select(key.alias("k"), F.col(value).alias("v")).limit(max_rows + 1)
+    too_many = F.raise_error(F.lit(f"over {max_rows} rows to look {value} up in; join them instead"))
+    folded = F.map_from_entries(F.collect_list(F.struct("k", "v")))
+    lookup = few.agg(F.when(F.count("*") <= max_rows, folded).otherwise(too_many)).scalar()
+    return rows.withColumn(value, lookup[F.struct(*on)])
+
+
+def apply_thresholds(scores: DataFrame, thresholds: DataFrame | Mapping[str, float], op: str = ">") -> DataFrame:
+    """Adds ``threshold`` and ``pred``. Thresholds are a mapping from labels, or a
+    table keyed by any columns of the scores (label, model, slice); see ``looked_up``."""
+    found = looked_up(scores, thresholds, "threshold")
     test = {">": F.col("p") > F.col("threshold"), ">=": F.col("p") >= F.col("threshold")}[op]
-    return joined.withColumn("pred", test.cast("int"))
+    return found.withColumn("pred", test.cast("int"))
 
 
 # -- counts and what follows from them ----------------------------------------
@@ -169,12 +185,12 @@ def extra_metrics(preds: DataFrame, by: Sequence[str] = ("model", "label")) -> D
     )
 
 
-def weighted_bce(logits: DataFrame, weights: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+def weighted_bce(logits: DataFrame, weights: DataFrame | Mapping[str, float], by: Sequence[str] = ("model",)) -> DataFrame:
     """Mean class-weighted binary cross-entropy of logits x with targets y:
     −[w·y·ln σ(x) + (1−y)·ln(1−σ(x))], in a form that does not overflow.
-    ``weights`` holds (label, pos_weight); a missing or null weight counts as 1."""
+    ``weights`` holds (label, pos_weight) or is a mapping; a missing or null weight counts as 1."""
     x, y = F.col("x"), F.col("y")
-    joined = join_null_safe(logits.filter(y >= 0), weights.select("label", "pos_weight"), ["label"], "left")
+    joined = looked_up(logits.filter(y >= 0), weights, "pos_weight")
     w = F.coalesce(F.col("pos_weight"), F.lit(1.0))
     tail = F.log1p(F.exp(-F.abs(x)))
     loss = F.when(y == 1, w * (F.greatest(-x, F.lit(0.0)) + tail)).otherwise(F.greatest(x, F.lit(0.0)) + tail)

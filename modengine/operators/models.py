@@ -21,7 +21,7 @@ from ..sources.checkpoint import cut_lineage
 from .curves import best_f1_point, curve_counts
 from .metrics import apply_thresholds, classification_report, hamming_accuracy, macro_micro
 from .sampling import stratified_folds
-from .tagging import judged
+from .tagging import judged, pos_weights
 
 LABELS = lexicon.LABELS
 
@@ -30,16 +30,18 @@ LABELS = lexicon.LABELS
 
 def embed(
     df: DataFrame, col: str = "clean", out: str = "features", encoder: Callable[[list[str]], np.ndarray] | None = None,
-    dim: int = 256, max_tokens: int = 128, batch: int = 32,
+    dim: int = 256, max_tokens: int | None = None, batch: int = 32,
 ) -> DataFrame:
-    """Mean token vector of the first ``max_tokens`` words of every text.
+    """Mean token vector of every text, over all its words; ``max_tokens`` cuts the
+    texts for an encoder that has such a limit.
 
     The default encoder hashes each word to one of ``dim`` axes and averages; it
     stays in the JVM. Another encoder is a function from a list of texts to a
     matrix, called on Arrow batches; a row's vector must depend on its own text
     only.
     """
-    words = df.withColumn("_text", text.truncate_tokens(text.text_or_empty(F.col(col)), max_tokens))
+    whole = text.squeeze_ws(text.text_or_empty(F.col(col)))
+    words = df.withColumn("_text", whole if max_tokens is None else text.truncate_tokens(whole, max_tokens))
     if encoder is not None:
         return words.withColumn(out, _encoder_udf(encoder, batch)(F.col("_text"))).drop("_text")
     words = words.withColumn("_words", text.tokens(F.col("_text")))
@@ -96,6 +98,7 @@ def fit_multilabel(
     """One boosted-tree classifier per label on a vector column. Rows whose label
     was not judged are left out of that label's fit."""
     settings = {**DEFAULT_PARAMS, **(params or {})}
+    df = cut_lineage(df.select(features, *labels))  # features once, not once per label and pass
 
     def fit(label: str) -> PipelineModel:
         gbt = GBTClassifier(featuresCol=features, labelCol=label, seed=seed, predictionCol="_pred", **settings)
@@ -117,7 +120,8 @@ def fit_weighted_linear(
     counted = cut_lineage(tf.transform(words).drop("_words"))
     idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted)
     rows = idf.transform(counted).drop("_tf")
-    weights = {r["label"]: r["w"] for r in _pos_weight_rows(counted, labels)}
+    # Six numbers for six models; what reaches the driver does not grow.
+    weights = {r["label"]: r["pos_weight"] for r in pos_weights(counted, labels).collect()}
 
     def fit(label: str) -> PipelineModel:
         weight = F.when(F.col(label) == 1, F.lit(float(weights[label] or 1.0))).otherwise(F.lit(1.0))
@@ -130,14 +134,6 @@ def fit_weighted_linear(
     return _on_labels(fit, labels, parallelism)
 
 
-def _pos_weight_rows(df: DataFrame, labels: Sequence[str]) -> list:
-    """Six numbers for six models; what reaches the driver does not grow."""
-    sums = df.agg(*[
-        F.try_divide(F.count_if(F.col(l) == 0).cast("double"), F.count_if(F.col(l) == 1)).alias(l) for l in labels
-    ])
-    return sums.select(F.inline(F.array(*[F.struct(F.lit(l).alias("label"), F.col(l).alias("w")) for l in labels]))).collect()
-
-
 def predict_long(
     models: Mapping[str, PipelineModel], df: DataFrame, key: str, name: str, text_col: str | None = None,
     keep: Sequence[str] = (),
@@ -203,7 +199,7 @@ def draw_params(space: Mapping = SEARCH_SPACE, n_iter: int = 25, seed: int = 42)
     trees grow by depth; the column share is Spark's feature subset strategy."""
     rng = np.random.default_rng(seed)
     out = []
-    for _ in range(min(25, n_iter)):
+    for _ in range(n_iter):
         leaves = int(rng.integers(space["num_leaves"][0], space["num_leaves"][1] + 1))
         depth = int(rng.integers(space["maxDepth"][0], space["maxDepth"][1] + 1))
         low, high = space["stepSize"]

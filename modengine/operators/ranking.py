@@ -23,7 +23,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 def ranked(
     df: DataFrame, order: Column, ties: Sequence[str], by: Sequence[str] = (), out: str = "rank",
-    total: str | None = None, prefix: int = 2,
+    total: str | None = None, prefix: int = 4,
 ) -> DataFrame:
     """0-based position of every row in its group, ordered by a hex hash.
 

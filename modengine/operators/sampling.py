@@ -13,14 +13,14 @@ from ..sources.checkpoint import cut_lineage
 from .ranking import ranked
 
 
-def draw_with_replacement(pool: DataFrame, keys: Sequence[str], n: int, salt: str, out: str = "draw") -> DataFrame:
+def draw_with_replacement(pool: DataFrame, keys: Sequence[str], n: int, salt: str, out: str = "draw", prefix: int = 4) -> DataFrame:
     """Exactly ``n`` rows drawn from ``pool`` with replacement, numbered in ``out``.
 
     Rows are numbered in hash order, the draws are numbers, and an equi-join
     fetches the rows. An empty pool gives no rows.
     """
     size = pool.agg(F.count("*").alias("n")).scalar()
-    numbered = ranked(pool, hash_hex(salt, *[F.col(k) for k in keys]), keys, out="_pos")
+    numbered = ranked(pool, hash_hex(salt, *[F.col(k) for k in keys]), keys, out="_pos", prefix=prefix)
     draws = pool.sparkSession.range(n).select(
         F.col("id").alias(out), det_index(F.concat_ws(":", F.lit(salt), "id"), "draw", size).alias("_pos")
     )
@@ -67,7 +67,8 @@ def label_set(labels: Sequence[str] = tuple(lexicon.LABELS)) -> Column:
 
 
 def stratified_folds(
-    df: DataFrame, key: str, k: int = 3, labels: Sequence[str] = tuple(lexicon.LABELS), seed: int = 42
+    df: DataFrame, key: str, k: int = 3, labels: Sequence[str] = tuple(lexicon.LABELS), seed: int = 42,
+    prefix: int = 4,
 ) -> DataFrame:
     """Adds ``fold`` in 0..k-1; rows of one label set are dealt out evenly.
 
@@ -75,13 +76,5 @@ def stratified_folds(
     come from ``ranked`` and not from one window per set.
     """
     strata = df.withColumn("label_set", label_set(labels))
-    dealt = ranked(strata, hash_hex(seed, F.col(key)), [key], by=["label_set"], out="_pos")
+    dealt = ranked(strata, hash_hex(seed, F.col(key)), [key], by=["label_set"], out="_pos", prefix=prefix)
     return dealt.withColumn("fold", (F.col("_pos") % k).cast("int")).drop("_pos")
-
-
-def folds_for(
-    df: DataFrame, key: str, labels: Sequence[str], k: int = 3, small: int = 10, seed: int = 42
-) -> tuple[DataFrame, int]:
-    """``k`` stratified folds, or two for a table of fewer than ``small`` rows."""
-    n = k if df.limit(small).count() == small else 2
-    return stratified_folds(df, key, n, labels, seed), n

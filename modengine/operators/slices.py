@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from .metrics import macro_micro
-from .tagging import identity_matches
 
 
 def fairness_gap(preds: DataFrame, flag: str = "has_identity", by: Sequence[str] = ("model",)) -> DataFrame:
@@ -20,10 +19,12 @@ def fairness_gap(preds: DataFrame, flag: str = "has_identity", by: Sequence[str]
     ).withColumn("gap", F.col("without_identity") - F.col("with_identity"))
 
 
-def fairness_by_term(preds: DataFrame, col: str = "text", by: Sequence[str] = ("model",)) -> DataFrame:
+def fairness_by_term(preds: DataFrame, terms: str = "terms", by: Sequence[str] = ("model",)) -> DataFrame:
     """Macro F1 per identity term, best first; a term without rows has none.
-    All terms in one pass: a row counts for every term it holds."""
-    return macro_micro(identity_matches(preds, col), [*by, "term"]).select(*by, "term", "f1_macro").orderBy(
+    ``terms`` names an array of the terms of a row (``tagging.with_terms``, before a
+    text's rows multiply). All terms in one pass: a row counts for each it holds."""
+    fanned = preds.withColumn("term", F.explode(terms))
+    return macro_micro(fanned, [*by, "term"]).select(*by, "term", "f1_macro").orderBy(
         *by, F.desc("f1_macro"), "term"
     )
 

@@ -17,7 +17,15 @@ def with_identity(df: DataFrame, col: str = "text", mode: str = "substring") ->
 
 def identity_matches(df: DataFrame, col: str = "text", terms: Sequence[str] = tuple(lexicon.IDENTITY_TERMS)) -> DataFrame:
     """One row per (row, matching term)."""
-    return df.withColumn("term", F.explode(tags.identity_terms_in(F.col(col), terms)))
+    return with_terms(df, col, terms).withColumn("term", F.explode("terms")).drop("terms")
+
+
+def with_terms(df: DataFrame, col: str = "text", terms: Sequence[str] = tuple(lexicon.IDENTITY_TERMS)) -> DataFrame:
+    """Adds ``terms``, the identity terms in the text. The text is lowered once, and
+    later filters on the terms do not repeat the search."""
+    low = df.withColumn("_low", F.explode(F.array(F.lower(text.text_or_empty(F.col(col))))))
+    found = low.withColumn("terms", F.explode(F.array(tags.terms_in_lowered(F.col("_low"), terms))))
+    return found.drop("_low")
 
 
 def weak_labels(df: DataFrame, col: str = "text") -> DataFrame:
@@ -86,12 +94,15 @@ def label_distribution(df: DataFrame, labels: Sequence[str] = tuple(LABELS)) ->
 
 
 def pos_weights(df: DataFrame, labels: Sequence[str] = tuple(LABELS)) -> DataFrame:
-    """(total − positives) / positives per label; null without positives."""
-    sums = df.agg(F.count("*").alias("_n"), *[F.sum((F.col(l) == 1).cast("long")).alias(l) for l in labels])
+    """Negatives / positives per label; null without positives. Rows whose label
+    was not judged (-1 or null) count for neither."""
+    sums = df.agg(*[
+        F.struct(F.count_if(F.col(l).isin(0, 1)).alias("n"), F.count_if(F.col(l) == 1).alias("pos")).alias(l) for l in labels
+    ])
     return sums.select(_turn(labels, lambda l: {
-        "total": F.col("_n"),
-        "positives": F.coalesce(F.col(l), F.lit(0)),
-        "pos_weight": F.try_divide((F.col("_n") - F.col(l)).cast("double"), F.col(l).cast("double")),
+        "total": F.col(l)["n"],
+        "positives": F.col(l)["pos"],
+        "pos_weight": F.try_divide((F.col(l)["n"] - F.col(l)["pos"]).cast("double"), F.col(l)["pos"].cast("double")),
     }))
 
 
@@ -129,5 +140,5 @@ def cleaning_effectiveness(df: DataFrame, original: str = "text", cleaned: str =
 def set_stats(df: DataFrame) -> DataFrame:
     """Rows, toxic rows and toxic share per pattern of an attack set, commonest first."""
     return df.groupBy("pattern").agg(
-        F.count("*").alias("n_rows"), F.sum("is_toxic").alias("n_toxic")
+        F.count("*").alias("n_rows"), F.sum("is_toxic").alias("n_toxic"), F.avg("is_toxic").alias("toxic_share")
     ).orderBy(F.desc("n_rows"), "pattern")

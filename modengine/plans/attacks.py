@@ -12,7 +12,7 @@ from . import inputs as inp
 from .inputs import COMMENTS, LABELS, comments, macro_micro_sql, q, rounded, sql_rand
 from .registry import query
 from .tagging import sql_weak
-from .text import W, sql_collapse, sub
+from .text import W, sql_collapse, sql_compat, sub
 
 SEED = 42
 
@@ -77,8 +77,7 @@ SQL_ATTACKS = {
         t, k, "case_variation", "01",
         f"CASE WHEN z[2] = '1' THEN translate(z[1], '{_ASCII}', '{_ASCII.upper()}') "
         f"ELSE translate(z[1], '{_ASCII.upper()}', '{_ASCII}') END"),
-    # The texts hold letters only that compose alike one by one.
-    "unicode": lambda t, k: f"nfc_normalize({t})",
+    "unicode": lambda t, k: sql_compat(t),
     "word_substitution": _words,
     "character_swapping": lambda t, k: sub(t, f"([{W}])([{W}])", r"\2\1"),
     "emoji_injection": lambda t, k: _append(t, k, "emoji_injection", lexicon.EMOJI),
@@ -126,7 +125,8 @@ def _base(spark, d):
     rows = weak.join(inp.table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
     cls = (
         F.when(F.col("toxic") == 1, "toxic").when(F.col("threat") == 1, "threat")
-        .when(F.col("severe_toxic") == 1, "severe_toxic").when(F.col("insult") == 1, "insult").otherwise("clean")
+        .when(F.col("severe_toxic") == 1, "severe_toxic").when(F.col("identity_hate") == 1, "identity_hate")
+        .when(F.col("obscene") == 1, "obscene").when(F.col("insult") == 1, "insult").otherwise("clean")
     )
     return rows.select(F.col("doc_id").alias("base_id"), "text", cls.alias("class"))
 
@@ -134,7 +134,8 @@ def _base(spark, d):
 _WEAK = sql_weak()
 _BASE = (
     f"{COMMENTS}, base AS (SELECT c.doc_id AS base_id, text, CASE WHEN toxic = 1 THEN 'toxic' WHEN {_WEAK['threat']} = 1 "
-    f"THEN 'threat' WHEN {_WEAK['severe_toxic']} = 1 THEN 'severe_toxic' WHEN {_WEAK['insult']} = 1 THEN 'insult' "
+    f"THEN 'threat' WHEN {_WEAK['severe_toxic']} = 1 THEN 'severe_toxic' WHEN {_WEAK['identity_hate']} = 1 THEN 'identity_hate' "
+    f"WHEN {_WEAK['obscene']} = 1 THEN 'obscene' WHEN {_WEAK['insult']} = 1 THEN 'insult' "
     "ELSE 'clean' END AS class FROM comments c LEFT JOIN labels l ON c.doc_id = l.doc_id)"
 )
 
@@ -175,7 +176,7 @@ def attack_set(spark, d):
 
 @query("attack_set_stats",
        f"WITH {_SET.split(', stage1 AS')[0]} SELECT CASE WHEN clean THEN 'clean' ELSE array_to_string(names, '+') END AS pattern, "
-       "count(*) AS n_rows, count(*) FILTER (NOT clean) AS n_toxic FROM stage0 GROUP BY ALL")
+       "count(*) AS n_rows, count(*) FILTER (NOT clean) AS n_toxic, avg((NOT clean)::INT) AS toxic_share FROM stage0 GROUP BY ALL")
 def attack_set_stats(spark, d):
     return tagging.set_stats(attacks.attack_rows(_base(spark, d), seed=SEED))
 
@@ -232,12 +233,11 @@ def resilience_by_level(spark, d):
     return rounded(resilience.resilience_ratio(preds, "level", 0))
 
 
-_DEFENDED = ["space_injection", "char_repetition", "special_chars", "emoji_injection", "zero_width"]
 _LETTERS = [*string.ascii_letters, *string.digits, "_", *[chr(c) for c in range(0xC0, 0x180) if chr(c).isalpha()]]
 
 
 def _normalize(t: str) -> str:
-    spaced = sub(f"nfc_normalize({t})", rf"[^{W}]+", " ")
+    spaced = sub(sql_compat(t), rf"[^{W}]+", " ")
     return f"lower(replace({sql_collapse(spaced, 1, _LETTERS)}, ' ', ''))"
 
 
@@ -251,7 +251,7 @@ def _defence_sql() -> str:
         "false_attacked": "y = 0 AND a = 1", "false_normalized": "y = 0 AND n = 1",
     }
     return (
-        f"WITH {variants_sql(_DEFENDED)}, normed AS MATERIALIZED (SELECT *, {_normalize('attacked')} AS norm FROM variants), "
+        f"WITH {variants_sql(lexicon.PATTERNS)}, normed AS MATERIALIZED (SELECT *, {_normalize('attacked')} AS norm FROM variants), "
         f"w AS ({rows}) SELECT pattern, label, "
         + ", ".join(f"count(*) FILTER ({c}) AS {k}" for k, c in cells.items()) + " FROM w GROUP BY ALL"
     )
@@ -259,5 +259,5 @@ def _defence_sql() -> str:
 
 @query("defence_gain", _defence_sql())
 def defence_gain(spark, d):
-    variants = attacks.obfuscation_variants(comments(spark, d), "text", "doc_id", _DEFENDED)
+    variants = attacks.obfuscation_variants(comments(spark, d), "text", "doc_id")
     return resilience.defence_gain(variants)

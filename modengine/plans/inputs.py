@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import lexicon
 from ..functions.rand import det_rand
-from ..operators.metrics import apply_thresholds, threshold_table
+from ..operators.metrics import apply_thresholds
 from ..sources.comments import attach_labels
 
 LABELS = lexicon.LABELS
@@ -26,6 +26,9 @@ ENDINGS = [
     "hope it doesn't die, wishes fade??!",
     "black and white films; I'm gay and She's asian",
     "It's what we'll find for you in churches",
+    "What the sh*t is this",
+    "He said all [group] should leave",
+    "Y\u043eu call sTuPid w\u200bords \ufb01ne \uff57ork b a d l y",
     "",
 ]
 
@@ -39,21 +42,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the scan has fewer splits than there are cores.
+TEXT_TASKS = "spark.modengine.textTasks"
 
-    The test files hold one row group, i.e. one task, and the attacks are CPU
-    work. A large table has splits enough and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' texts, in the splits of the scan. A session that sets
+    ``spark.modengine.textTasks`` gets that many instead: one small file with a
+    single row group is one task otherwise."""
+    docs, tasks = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(TEXT_TASKS, None)
+    return docs.repartition(int(tasks), "doc_id") if tasks else docs
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): every document with its ending."""
     ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % len(ENDINGS) + 1).cast("int"))
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return docs.select("doc_id", F.concat_ws(" ", "text", ending).alias("text"))
+    return texts(spark, sf_dir).select("doc_id", F.concat_ws(" ", "text", ending).alias("text"))
 
 
 def labelled(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
@@ -85,12 +88,12 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores_of(labelled(spark, sf_dir, text=False))
 
 
-def predictions_of(spark: SparkSession, long: DataFrame, op: str = ">") -> DataFrame:
-    return apply_thresholds(long.filter(F.col("y") >= 0), threshold_table(spark), op)
+def predictions_of(long: DataFrame, op: str = ">") -> DataFrame:
+    return apply_thresholds(long.filter(F.col("y") >= 0), lexicon.DEFAULT_THRESHOLDS, op)
 
 
 def predictions(spark: SparkSession, sf_dir: str, op: str = ">") -> DataFrame:
-    return predictions_of(spark, scores(spark, sf_dir), op)
+    return predictions_of(scores(spark, sf_dir), op)
 
 
 # -- the same in SQL ------------------------------------------------------------

@@ -7,13 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicon
 from ..operators import cleaning, metrics, models
 from .inputs import LABELS, comments, labelled, table
 from .registry import query
 
 DIM = 64
-# Small fits for the test tables; the library defaults are larger.
-QUICK = {"maxDepth": 3, "maxIter": 4}
 
 
 def vectors(spark, d):
@@ -38,7 +37,7 @@ def expand_vector(spark, d):
 @query("gbt_scores")
 def gbt_scores(spark, d):
     rows = vectors(spark, d)
-    fitted = models.fit_multilabel(rows, params=QUICK)
+    fitted = models.fit_multilabel(rows)
     return models.predict_long(fitted, rows, "vec_id", "trees")
 
 
@@ -46,16 +45,14 @@ def gbt_scores(spark, d):
 def score_long(spark, d):
     """Scores of one model turned into predictions at the default thresholds."""
     rows = vectors(spark, d)
-    fitted = models.fit_multilabel(rows, ["toxic", "insult"], params=QUICK)
-    return metrics.apply_thresholds(
-        models.predict_long(fitted, rows, "vec_id", "trees"), metrics.threshold_table(spark)
-    )
+    fitted = models.fit_multilabel(rows)
+    return metrics.apply_thresholds(models.predict_long(fitted, rows, "vec_id", "trees"), lexicon.DEFAULT_THRESHOLDS)
 
 
 @query("lr_scores")
 def lr_scores(spark, d):
     rows = cleaning.clean_basic(labelled(spark, d))
-    fitted = models.fit_weighted_linear(rows, dim=1 << 12, max_iter=5)
+    fitted = models.fit_weighted_linear(rows)
     return models.predict_long(fitted, rows, "doc_id", "linear", text_col="clean")
 
 
@@ -67,9 +64,9 @@ _SPACE = {
 
 @query("search_report")
 def search_report(spark, d):
-    return models.search(vectors(spark, d), "vec_id", ["toxic", "insult"], n_iter=2, folds=2, space=_SPACE)[1]
+    return models.search(vectors(spark, d), "vec_id", n_iter=2, folds=2, space=_SPACE)[1]
 
 
 @query("train_evaluate_report")
 def train_evaluate_report(spark, d):
-    return models.train_and_evaluate(vectors(spark, d), "vec_id", params=QUICK, held_out=0.3)["report"]
+    return models.train_and_evaluate(vectors(spark, d), "vec_id", held_out=0.3)["report"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, tags, text as tx
-from ..operators import comparison, curves, metrics, models, resilience, sampling, slices
+from ..operators import comparison, curves, metrics, models, resilience, sampling, slices, tagging
 from ..operators.ranking import join_null_safe
 from ..operators.metrics import apply_thresholds
 from ..sources import results
@@ -370,7 +370,7 @@ def _sliced(spark, d):
     rows = labelled(spark, d).withColumns({
         "has_identity": tags.has_identity(F.col("text")), "n_words": tx.n_tokens(F.col("text")),
     })
-    return predictions_of(spark, scores_of(rows, ["text", "has_identity", "n_words"]))
+    return predictions_of(scores_of(rows, ["text", "has_identity", "n_words"]))
 
 
 _IDENTITY = "(" + " OR ".join(f"contains(lower(text), {q(t)})" for t in lexicon.IDENTITY_TERMS) + ")::INT"
@@ -388,10 +388,8 @@ def fairness_identity(spark, d):
        f"{WITH_P}, terms AS (SELECT unnest([{inp.sql_list(lexicon.IDENTITY_TERMS)}]) AS term), s AS (SELECT preds.*, term FROM preds "
        f"JOIN terms ON contains(lower(text), term)) {sql_mm('model, term', 's', ['f1_macro'])}")
 def fairness_by_term(spark, d):
-    rows = labelled(spark, d).withColumn("terms", tags.identity_terms_in(F.col("text"))).drop("text")
-    preds = predictions_of(spark, scores_of(rows.filter(F.size("terms") > 0), ["terms"]))
-    by_term = preds.withColumn("term", F.explode("terms"))
-    return rounded(metrics.macro_micro(by_term, ["model", "term"]).select("model", "term", "f1_macro"))
+    rows = tagging.with_terms(labelled(spark, d)).drop("text").filter(F.size("terms") > 0)
+    return rounded(slices.fairness_by_term(predictions_of(scores_of(rows, ["terms"]))))
 
 
 @query("slice_by_flags",

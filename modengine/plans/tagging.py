@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, text as tx
 from ..operators import cleaning, tagging
-from ..operators.metrics import apply_thresholds, threshold_table
+from ..operators.metrics import apply_thresholds
 from ..sources.comments import attach_labels as attach
 from . import inputs as inp
 from .inputs import BASE, COMMENTS, LABELLED, LABELS, THRESHOLDS, comments, labelled, q, scores
@@ -95,7 +95,7 @@ def _predict(name: str, op: str, thresholds: dict[str, float]) -> None:
 
     @query(name, sql)
     def run(spark, d):
-        predicted = apply_thresholds(scores(spark, d), threshold_table(spark, thresholds), op)
+        predicted = apply_thresholds(scores(spark, d), thresholds, op)
         return predicted.select("id", "model", "label", "y", "p", "pred")
 
 
@@ -135,8 +135,8 @@ def label_distribution(spark, d):
 
 
 @query("pos_weights", f"WITH {COMMENTS}, {LABELLED} " + " UNION ALL ".join(
-    f"SELECT {q(l)} AS label, count(*) AS total, count(*) FILTER ({l} = 1) AS positives, "
-    f"round((count(*) - count(*) FILTER ({l} = 1))::DOUBLE / nullif(count(*) FILTER ({l} = 1), 0), 9) AS pos_weight "
+    f"SELECT {q(l)} AS label, count(*) FILTER ({l} >= 0) AS total, count(*) FILTER ({l} = 1) AS positives, "
+    f"round((count(*) FILTER ({l} = 0))::DOUBLE / nullif(count(*) FILTER ({l} = 1), 0), 9) AS pos_weight "
     "FROM labelled" for l in LABELS))
 def pos_weights(spark, d):
     return inp.rounded(tagging.pos_weights(labelled(spark, d, text=False)))

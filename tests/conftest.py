@@ -19,6 +19,7 @@ def make_session() -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.modengine.textTasks", "8")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checkpoint-"))
         .getOrCreate()
     )

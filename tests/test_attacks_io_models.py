@@ -73,6 +73,7 @@ def test_tolerant_and_strict_csv(spark, tmp_path):
     assert sorted(rows) == ["1", "2", "4"]
     assert rows["1"]["comment_text"] == 'two\nlines, "quoted"' and rows["2"]["threat"] is None
     assert rows["4"]["comment_text"] is None and rows["4"]["identity_hate"] == 1
+    assert comments.read_comments(spark, path).select("id").count() == 3
     with pytest.raises(Exception, match="MALFORMED|malformed"):
         comments.read_strict(spark, path).collect()
     with pytest.raises(FileNotFoundError):
@@ -81,6 +82,16 @@ def test_tolerant_and_strict_csv(spark, tmp_path):
         comments.read_required(spark, path, ["id", "nope"])
 
 
+def test_tolerant_csv_goes_by_header(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text("toxic,comment_text,other\n1,well met,z\n0,three,,\nx,four,\n0,\"a, \"\"b\"\", c\"\n")
+    rows = comments.read_comments(spark, str(path), unparsed="bad").collect()
+    assert [(r["comment_text"], r["toxic"], r["id"], r["insult"], r["bad"]) for r in rows] == [
+        ("well met", 1, None, None, []), ("four", None, None, None, ["toxic"]), ('a, "b", c', 0, None, None, []),
+    ]
+    assert comments.read_comments(spark, str(path), multi_line=False).count() == 3
+
+
 def test_round_trips(spark, tmp_path):
     df = spark.createDataFrame([("1", 'a "b"\nc', *[0] * 6)], comments.COMMENT_SCHEMA)
     comments.write_csv(df, str(tmp_path / "csv"))
@@ -99,6 +110,8 @@ def test_results(spark, tmp_path):
     back = results.read_results(spark, str(tmp_path / "r"))
     key = lambda df: sorted(tuple(r) for r in results.flatten_nested(df).collect())
     assert key(back) == key(record) and len(key(back)) == 2 * (4 + 2 * 9)
+    results.write_results(record.filter("model = 'a'"), str(tmp_path / "r"))
+    assert {r["model"] for r in results.read_results(spark, str(tmp_path / "r")).collect()} == {"a", "b"}
     flat = tmp_path / "flat.json"
     flat.write_text(json.dumps({"eval_severe_toxic_f1": 0.5, "eval_f1_macro": 0.25, "epoch": 2.0}))
     got = {tuple(r) for r in results.read_flat_document(spark, str(flat), "m").collect()}
@@ -118,8 +131,16 @@ def test_encoder_rows_do_not_depend_on_batches(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "", "日本", "x " * 1000])], "id int, clean string")
     length = lambda texts: np.array([[len(t), t.count(" ")] for t in texts])
     for batch in (1, 3, 32):
-        got = [r["features"] for r in models.embed(df, encoder=length, batch=batch).orderBy("id").collect()]
-        assert got == [[3, 1], [0, 0], [2, 0], [255, 127]]
+        whole = models.embed(df, encoder=length, batch=batch)
+        assert [r["features"] for r in whole.orderBy("id").collect()] == [[3, 1], [0, 0], [2, 0], [1999, 999]]
+        cut = models.embed(df, encoder=length, batch=batch, max_tokens=128)
+        assert [r["features"] for r in cut.orderBy("id").collect()] == [[3, 1], [0, 0], [2, 0], [255, 127]]
+
+
+def test_embedding_sees_every_word(spark):
+    df = spark.createDataFrame([(1, "a " * 500), (2, "a " * 500 + "b " * 500)], "id int, clean string")
+    one, two = [r["features"] for r in models.embed(df, dim=64).orderBy("id").collect()]
+    assert max(one) == 1 and sorted(two)[-2:] == [0.5, 0.5]
 
 
 def test_models_round_trip(spark, tmp_path):
@@ -135,7 +156,7 @@ def test_models_round_trip(spark, tmp_path):
 
 def test_drawn_settings_stay_in_range():
     drawn = models.draw_params(n_iter=100)
-    assert len(drawn) == 25 and drawn == models.draw_params(n_iter=100)
+    assert len(drawn) == 100 and drawn == models.draw_params(n_iter=100)
     assert all(3 <= s["maxDepth"] <= 10 and 0.01 <= s["stepSize"] <= 0.3 and 100 <= s["maxIter"] <= 500 for s in drawn)
 
 

