@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat_tree, license_scan, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup, topk
+from . import chat_tree, filter_audit, license_scan, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup, topk
 
 from .common import written
 
@@ -276,3 +276,37 @@ def op8_chat_tree(spark: SparkSession, d: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     return quality_classifier.score_documents(docs, table(spark, d, "labels")).select("doc_id", "p_text", "p_meta", "score", "kept")
+
+
+_OP12_ORDERS = "WITH RECURSIVE letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l), o(p) AS (SELECT '' UNION ALL SELECT p || l FROM o JOIN letters ON NOT contains(p, l))"
+_OP12_BIT = "(1 << (ascii(substr(p, step, 1)) - 65))"
+_OP12_SQL = f"""
+{_OP12_ORDERS}, words AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), masked AS (
+    SELECT part, doc_id,
+        (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+        + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+        + 16 * (doc_id > min(doc_id) OVER (PARTITION BY text))::INT AS mask
+    FROM words
+), cells AS (
+    SELECT part, mask, count(*) AS n, count(*) FILTER (l.quality = 1) AS good, count(*) FILTER (l.toxic = 1) AS toxic
+    FROM masked m LEFT JOIN labels l ON l.doc_id = m.doc_id GROUP BY ALL
+), orders AS (
+    SELECT p, step, {_OP12_BIT} AS bit, coalesce((SELECT sum(1 << (ascii(x) - 65)) FROM unnest(string_split(p[1:step - 1], '')) AS t(x) WHERE x <> ''), 0)::INT AS before
+    FROM (SELECT p, unnest([1, 2, 3, 4, 5])::INT AS step FROM o WHERE length(p) = 5)
+), metrics AS (
+    SELECT part, p AS filter_order, step, bit,
+        coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+    FROM cells, orders GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM metrics
+"""
+
+
+@query("op12_filter_audit", _OP12_SQL)
+def op12_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
