@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat_tree, filter_audit, license_scan, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup, topk
+from . import chat_tree, filter_audit, license_scan, line_dedup, mixing, packing, periodic_runs, quality_classifier, quality_rules, sharding, simhash_dedup, topk
 
-from .common import written
+from .common import free_names, once, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -310,3 +310,29 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 @query("op12_filter_audit", _OP12_SQL)
 def op12_filter_audit(spark: SparkSession, d: str) -> DataFrame:
     return filter_audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents as op13 reads them: of about a tenth, chosen by a checksum of the
+    id, the tail repeats itself with a period drawn from it."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = h % 10 == 0
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), lambda w: w != "")
+    rows = once(docs.select("doc_id", "text"), _ws=F.when(chosen, words))
+    n, g = F.size("_ws").cast("long"), F.floor(h / 10)
+    start = F.when(n > 0, g % n)
+    rows = once(rows, _a=start, _p=1 + F.floor((n - start) / (3 + g % 8)))
+    told = F.transform("_ws", lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get("_ws", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))))
+    return rows.select("doc_id", F.when(chosen & (n > 0), F.array_join(told, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_periods(table(spark, d, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = lambda f: F.col(f"best_run.{f}").alias(f)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best("start"), best("length"), best("period"),
+        F.expr("1000 * best_run.length div best_run.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
