@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat_tree, filter_audit, license_scan, line_dedup, mixing, packing, periodic_runs, quality_classifier, quality_rules, sharding, simhash_dedup, topk
+from . import chat_tree, filter_audit, license_scan, line_dedup, minhash_dedup, mixing, packing, periodic_runs, quality_classifier, quality_rules, sharding, simhash_dedup, topk
 
 from .common import free_names, once, written
 
@@ -278,6 +278,27 @@ def op9_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality_classifier.score_documents(docs, table(spark, d, "labels")).select("doc_id", "p_text", "p_meta", "score", "kept")
 
 
+_OP11_SQL = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) AS i FROM words WHERE len(ws) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(m.n) + any_value(n.n) - count(*))
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+roots AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(b, w.doc_id)) AS component_id, least(w.doc_id, coalesce(b, w.doc_id)) = w.doc_id AS kept
+FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN roots r ON r.a = w.doc_id
+"""
+
+
+@query("op11_minhash_dedup", _OP11_SQL)
+def op11_minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return minhash_dedup.minhash_groups(table(spark, d, "documents"), words=4, percent=80)
+
+
 _OP12_ORDERS = "WITH RECURSIVE letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l), o(p) AS (SELECT '' UNION ALL SELECT p || l FROM o JOIN letters ON NOT contains(p, l))"
 _OP12_BIT = "(1 << (ascii(substr(p, step, 1)) - 65))"
 _OP12_SQL = f"""

@@ -13,11 +13,92 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modengine.llm import filter_audit, periodic_runs, queries
+from modengine.llm import filter_audit, minhash_dedup, periodic_runs, queries
 
 from .conftest import DATA
 
 
+# -- 11 (the query itself is held against SQL) ------------------------------------------------
+
+def shingle_set(text, words):
+    parts = (text or "").lower().split()
+    return {tuple(parts[i:i + words]) for i in range(max(len(parts) - words + 1, 1))} if parts else set()
+
+
+def plain_groups(texts, words, percent):
+    sets = {i: shingle_set(t, words) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1:]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+def near_copies(rng, base, n, most):
+    """Copies of a text with up to ``most`` words changed."""
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randint(0, most)):
+            words[at] = f"w{rng.randint(0, 300)}"
+        yield " ".join(words)
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_minhash_against_brute_force(spark, words):
+    """Groups around a text that is there itself, groups without it, chains of
+    copies of copies, a passage that unrelated texts share, and short texts."""
+    rng = random.Random(words)
+    draw = lambda n: [f"w{rng.randint(0, 300)}" for _ in range(n)]
+    base, other, passage = draw(120), draw(60), draw(40)
+    texts = [*near_copies(rng, base, 80, 12), " ".join(base), " ".join(base).upper(), *near_copies(rng, other, 60, 5)]
+    texts += [" ".join(draw(30) + passage + draw(rng.randint(0, 40))) for _ in range(60)]
+    chain = draw(80)
+    for _ in range(25):
+        chain = next(near_copies(rng, chain, 1, 3)).split()
+        texts.append(" ".join(chain))
+    texts += ["a b", "A  b", "a", "b a", "", None, " \t", "a b c d", "a b c d e", "x y z w v u"]
+    rng.shuffle(texts)
+    docs = dict(enumerate(texts))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in minhash_dedup.minhash_groups(df, words=words).collect()}
+    want = plain_groups(docs, words, 80)
+    assert got == want and sum(not k for _, _, k in want.values()) > 60
+
+
+def test_prefix_keeps_every_pair_with_enough_collisions(spark):
+    rng = random.Random(6)
+    signatures = {bytes([c]): [(k << 32) | rng.choice([rng.randint(0, 9), c // 4, 7]) for k in range(12)] for c in range(60)}
+    df = spark.createDataFrame([(bytearray(c), 10, s) for c, s in signatures.items()], "class binary, n long, signature array<long>")
+    lists = {}
+    for r in minhash_dedup.postings(df, 7).collect():
+        lists.setdefault(r["key"], set()).add(bytes(r["class"]))
+    met = {(a, b) for members in lists.values() for a in members for b in members if a < b}
+    want = {(a, b) for a in signatures for b in signatures if a < b and len(set(signatures[a]) & set(signatures[b])) >= 7}
+    assert want and want <= met
+    assert len(lists) < len({v for s in signatures.values() for v in s})  # long lists are skipped
+
+
+def test_minhash_edges(spark, edges, nothing):
+    rows = minhash_dedup.minhash_groups(edges).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], set()).add(tuple(r)[1:])
+    assert len(rows) == edges.count()
+    assert got[1] == {(0, 1, True)} and got[2] == {(0, 2, True)} and got[3] == {(0, 3, True)}
+    assert got[10] == {(12, 10, True)} and got[11] == {(12, 10, False)}
+    assert got[7] == {(1, 7, True)} and got[None] == {(0, None, True), (4, None, True)}
+    assert minhash_dedup.minhash_groups(nothing).count() == 0
+
+
 # -- 12 (the query itself is held against SQL) ------------------------------------------------
 
 def plain_audit(rows, labels, order):
