@@ -71,7 +71,7 @@ def test_minhash_against_brute_force(spark, words):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {r["doc_id"]: tuple(r)[1:] for r in minhash_dedup.minhash_groups(df, words=words).collect()}
     want = plain_groups(docs, words, 80)
-    assert got == want and sum(not k for _, _, k in want.values()) > 60
+    assert got == want and sum(not k for _, _, k in want.values()) > 40
 
 
 def test_prefix_keeps_every_pair_with_enough_collisions(spark):
