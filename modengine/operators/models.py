@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.feature import CountVectorizerModel, HashingTF, IDF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -20,7 +21,6 @@ from ..functions.rand import det_rand
 from ..sources.checkpoint import cut_lineage
 from .curves import best_f1_point, curve_counts
 from .metrics import apply_thresholds, classification_report, hamming_accuracy, macro_micro
-from .sampling import stratified_folds
 from .tagging import judged, pos_weights
 
 LABELS = lexicon.LABELS
@@ -35,8 +35,8 @@ def embed(
     """Mean token vector of every text, over all its words; ``max_tokens`` cuts the
     texts for an encoder that has such a limit.
 
-    The default encoder hashes each word to one of ``dim`` axes and averages; it
-    stays in the JVM. Another encoder is a function from a list of texts to a
+    The default encoder sends each word to one of ``dim`` axes, by the first eight
+    hex digits of its md5, and averages; it stays in the JVM. Another encoder is a function from a list of texts to a
     matrix, called on Arrow batches; a row's vector must depend on its own text
     only.
     """
@@ -45,10 +45,12 @@ def embed(
     if encoder is not None:
         return words.withColumn(out, _encoder_udf(encoder, batch)(F.col("_text"))).drop("_text")
     words = words.withColumn("_words", text.tokens(F.col("_text")))
-    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(words)
+    axis = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("string")
+    words = words.withColumn("_axes", F.transform("_words", axis))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_axes", outputCol="_tf")
     n = F.greatest(F.size("_words"), F.lit(1))
-    mean = F.transform(vector_to_array("_tf", "float32"), lambda v: (v / n).cast("float"))
-    return counts.withColumn(out, mean).drop("_text", "_words", "_tf")
+    mean = F.transform(vector_to_array("_tf"), lambda v: (v / n).cast("float"))
+    return counter.transform(words).withColumn(out, mean).drop("_text", "_words", "_axes", "_tf")
 
 
 def _encoder_udf(encoder, batch: int):
@@ -195,48 +197,30 @@ SEARCH_SPACE = {
 
 
 def draw_params(space: Mapping = SEARCH_SPACE, n_iter: int = 25, seed: int = 42) -> list[dict]:
-    """Seeded random settings. The number of leaves bounds the depth, since Spark
-    trees grow by depth; the column share is Spark's feature subset strategy."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(n_iter):
-        leaves = int(rng.integers(space["num_leaves"][0], space["num_leaves"][1] + 1))
-        depth = int(rng.integers(space["maxDepth"][0], space["maxDepth"][1] + 1))
-        low, high = space["stepSize"]
-        out.append({
-            "maxDepth": max(1, min(depth, math.ceil(math.log2(leaves)))),
-            "stepSize": float(math.exp(rng.uniform(math.log(low), math.log(high)))),
-            "maxIter": int(rng.integers(space["maxIter"][0], space["maxIter"][1] + 1)),
-            "subsamplingRate": float(rng.uniform(*space["subsamplingRate"])),
-            "featureSubsetStrategy": str(round(float(rng.uniform(*space["colsample"])), 4)),
-        })
-    return out
-
-
-def search(
-    df: DataFrame, key: str, labels: Sequence[str] = tuple(LABELS), features: str = "features", n_iter: int = 25,
-    folds: int = 3, space: Mapping = SEARCH_SPACE, seed: int = 42, parallelism: int = 3,
-) -> tuple[dict, DataFrame]:
-    """Random search by cross-validated macro F1 over the stratified folds.
-
-    Returns the best settings and the report (trial, settings…, score). Fits and
-    scoring are Spark jobs; only the settings and one number per fit pass here.
-    """
-    df = cut_lineage(stratified_folds(df, key, folds, labels, seed).select(key, features, *labels, "fold"))
-    evaluate, trials = MacroF1Evaluator(), []
-    for i, params in enumerate(draw_params(space, n_iter, seed)):
-        scores = []
-        for k in range(folds):
-            models = fit_multilabel(df.filter(F.col("fold") != k), labels, features, params, seed, parallelism)
-            scores.append(evaluate.evaluate(predict_long(models, df.filter(F.col("fold") == k), key, "trial")))
-        trials.append({"trial": i, **params, "score": float(np.mean(scores))})
-    best = max(trials, key=lambda t: (t["score"], -t["trial"]))
-    schema = (
-        "trial int, maxDepth int, stepSize double, maxIter int, subsamplingRate double, "
-        "featureSubsetStrategy string, score double"
-    )
-    report = df.sparkSession.createDataFrame([tuple(t.values()) for t in trials], schema)
-    return {k: v for k, v in best.items() if k not in ("trial", "score")}, report
+    """Random settings from digests of (seed, trial, name). The number of leaves
+    bounds the depth, since Spark trees grow by depth; the column share is Spark's
+    feature subset strategy."""
+    def u(trial: int, name: str) -> float:
+        return int(hashlib.md5(f"{seed}:{trial}:{name}".encode()).hexdigest()[:8], 16) / 2**32
+
+    def whole(trial: int, name: str) -> int:
+        low, high = space[name]
+        return low + int(u(trial, name) * (high - low + 1))
+
+    def real(trial: int, name: str, places: int) -> float:
+        low, high = space[name]
+        return round(low + u(trial, name) * (high - low), places)
+
+    def setting(trial: int) -> dict:
+        low, high = map(math.log, space["stepSize"])
+        return {
+            "maxDepth": max(1, min(whole(trial, "maxDepth"), math.ceil(math.log2(whole(trial, "num_leaves"))))),
+            "stepSize": round(math.exp(low + u(trial, "stepSize") * (high - low)), 6),
+            "maxIter": whole(trial, "maxIter"), "subsamplingRate": real(trial, "subsamplingRate", 6),
+            "featureSubsetStrategy": str(real(trial, "colsample", 4)),
+        }
+
+    return [setting(trial) for trial in range(n_iter)]
 
 
 # -- end to end ---------------------------------------------------------------------
