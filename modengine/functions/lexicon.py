@@ -126,3 +126,15 @@ LEMMA_EXCEPTIONS = {
     "aches": "ache", "headaches": "headache", "caches": "cache", "quizzes": "quiz",
     "crises": "crisis", "axes": "axe",
 }
+
+# Suffixes of English plurals and what stands for them in the singular; a
+# vocabulary decides which result is a word.
+DETACHMENTS = [
+    ("s", ""), ("es", ""), ("ies", "y"), ("ies", "ie"), ("ves", "f"), ("ves", "fe"), ("men", "man"), ("es", "is"),
+    ("ses", "s"), ("zes", ""), ("zzes", "z"), ("ices", "ex"), ("ices", "ix"), ("i", "us"), ("a", "um"), ("a", "on"), ("ae", "a"),
+]
+# Plurals that no suffix tells.
+LEMMA_IRREGULAR = {
+    "children": "child", "feet": "foot", "teeth": "tooth", "geese": "goose", "mice": "mouse", "lice": "louse",
+    "oxen": "ox", "people": "person",
+}

@@ -133,7 +133,7 @@ class WordVectors(Estimator, _WordVectorParams, DefaultParamsReadable, DefaultPa
         word2vec = Word2Vec(
             inputCol=words, outputCol="_v", vectorSize=self._of("dim"), minCount=least, maxIter=self._of("maxIter"),
             seed=self._of("seed"), numPartitions=self._of("numPartitions"),
-        ).fit(dataset.select(words))
+        ).fit(dataset.filter(F.col(words).isNotNull()).select(words))
         n = dataset.count()
         rows = known.join(word2vec.getVectors(), "word").orderBy("word").collect()  # at most vocabSize
         idf = np.array([np.log((n + 1) / (r["df"] + 1)) + 1 for r in rows], dtype=np.float32)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicon, text
 from ..functions.unicode import ascii_fold
+from ..sources.checkpoint import cut_lineage
 
 Step = Callable[[Column], Column]
 
@@ -71,19 +72,71 @@ def clean_contractions(df: DataFrame, col: str = "text", out: str = "clean") ->
     ])
 
 
-def lemmatize_with_table(df: DataFrame, key: str, col: str, lemmas: DataFrame, out: str = "clean") -> DataFrame:
-    """Lemmatize squeezed texts by a table (word, lemma) too large for a literal.
+def distinct_words(df: DataFrame, col: str, word: str = "word") -> DataFrame:
+    """The different words of squeezed texts, folded before they are shuffled."""
+    return df.select(F.explode(F.array_distinct(text.tokens(F.col(col)))).alias(word)).distinct()
+
 
-    The lookup is an equi-join whose build side Spark broadcasts only if its
-    measured size allows. A text sends each of its words once, and gets a map
-    back, no larger than the text.
+def replace_words(
+    df: DataFrame, key: str, col: str, table: DataFrame, out: str = "clean", could: Callable[[Column], Column] | None = None,
+    salts: int = 16,
+) -> DataFrame:
+    """Replace words of squeezed texts by a table (word, lemma), which may be large.
+
+    The corpus' different words meet the table once; only words that change go on.
+    A text sends each of its words once (only those that ``could`` change, where
+    that is known from the word alone) and gets a map back, no larger than the
+    text. The changes are written and repeated for each of ``salts`` numbers, drawn
+    from the text's key, so that a word of nearly every text spreads over as many
+    tasks; the join's sides are plain tables, which Spark may split further.
     """
-    words = df.select(key, F.explode(F.array_distinct(text.tokens(F.col(col)))).alias("word"))
-    found = (
-        words.join(lemmas.groupBy("word").agg(F.min("lemma").alias("lemma")), "word")
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_lemma"))
+    sent = F.array_distinct(text.tokens(F.col(col)))
+    if could is not None:
+        sent = F.filter(sent, could)
+    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+    words = df.select(key, salt.alias("salt"), F.explode(sent).alias("word"))
+    once = table.groupBy("word").agg(F.min("lemma").alias("lemma")).filter("lemma <> word")
+    changes = cut_lineage(words.select("word").distinct().join(once, "word"))
+    spread = changes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = words.join(spread, ["word", "salt"]).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_lemma")
     )
     looked_up = F.transform(text.tokens(F.col(col)), lambda t: F.coalesce(F.col("_lemma")[t], t))
     replaced = F.when(F.col("_lemma").isNull(), F.col(col)).otherwise(F.array_join(looked_up, " "))
     return df.join(found, key, "left").withColumn(out, replaced).drop("_lemma")
+
+
+def lemma_table(words: DataFrame, vocabulary: DataFrame, irregular: Mapping[str, str] | None = None,
+                rules: Sequence[tuple[str, str]] = tuple(lexicon.DETACHMENTS)) -> DataFrame:
+    """(word, lemma) for every word: an irregular form's lemma, else the longest of
+    the word itself and what the suffix rules make of it that the vocabulary holds
+    (of equals the first in order), else the word."""
+    irregular = lexicon.LEMMA_IRREGULAR if irregular is None else irregular
+    w = F.col("word")
+    detached = [F.when(F.endswith(w, F.lit(s)) & (F.length(w) > len(s)), F.concat(F.expr(f"left(word, length(word) - {len(s)})"), F.lit(e))) for s, e in rules]
+    candidates = words.select("word", F.explode(F.array_compact(F.array(w, *detached))).alias("candidate"))
+    held = candidates.join(vocabulary.select(F.col("word").alias("candidate")).distinct(), "candidate")
+    best = held.groupBy("word").agg(F.min(F.struct((-F.length("candidate")).alias("n"), "candidate"))["candidate"].alias("found"))
+    ruled = words.select("word").distinct().join(best, "word", "left").withColumn("lemma", F.coalesce("found", "word"))
+    if irregular:
+        table = F.create_map(*[F.lit(x) for pair in irregular.items() for x in pair])
+        ruled = ruled.withColumn("lemma", F.when(w.isin(*irregular), table[w]).otherwise(F.col("lemma")))
+    return ruled.select("word", "lemma")
+
+
+def lemmatize_by_vocabulary(
+    df: DataFrame, key: str, col: str, vocabulary: DataFrame, out: str = "clean", irregular: Mapping[str, str] | None = None,
+    rules: Sequence[tuple[str, str]] = tuple(lexicon.DETACHMENTS), salts: int = 16,
+) -> DataFrame:
+    """Lemmatize squeezed texts with a vocabulary of lemmas (a table with ``word``):
+    suffixes are detached, and the longest result that is a word wins. Candidates
+    are made of the corpus' different words, not of its texts."""
+    irregular = lexicon.LEMMA_IRREGULAR if irregular is None else irregular
+    could = lambda t: F.regexp(t, F.lit(f"({'|'.join(s for s, _ in rules)})$")) | (t.isin(*irregular) if irregular else F.lit(False))
+    words = distinct_words(df, col).filter(could(F.col("word")))
+    return replace_words(df, key, col, lemma_table(words, vocabulary, irregular, rules), out, could, salts)
+
+
+def lemmatize_with_table(df: DataFrame, key: str, col: str, lemmas: DataFrame, out: str = "clean") -> DataFrame:
+    """Lemmatize squeezed texts by a table (word, lemma) too large for a literal."""
+    return replace_words(df, key, col, lemmas, out)

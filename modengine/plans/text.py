@@ -209,3 +209,28 @@ def lemmatize_with_table(spark, d):
     )
     light = comments(spark, d).withColumn("light", tx.clean_light(F.col("text")))
     return cleaning.lemmatize_with_table(light, "doc_id", "light", lemmas).select("doc_id", "clean")
+
+
+# A vocabulary of lemmas that Spark derives from a text table, and words of the endings.
+_KNOWN = ["church", "wish", "baby", "age", "woman", "box", "film", "word", "cookie", "link", "analysis", "wife"]
+_PLURALS = "churches wishes babies ages women boxes films words cookies links analyses wives children physics"
+_CANDIDATES = " UNION ALL ".join(
+    f"SELECT w, left(w, length(w) - {len(s)}) || {q(e)} AS c FROM corpus WHERE suffix(w, {q(s)}) AND length(w) > {len(s)}" for s, e in lexicon.DETACHMENTS
+)
+_IRREGULAR = " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in lexicon.LEMMA_IRREGULAR.items())
+
+
+@query(
+    "lemmatize_by_vocabulary",
+    f"WITH {COMMENTS}, light AS (SELECT doc_id, {sql_squeeze(f"lower(text) || ' {_PLURALS}'")} AS t FROM comments), "
+    f"words AS (SELECT doc_id, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS i FROM light), "
+    f"vocabulary AS (SELECT unnest(string_split({sql_squeeze('lower(text)')}, ' ')) AS v FROM benchmark UNION SELECT unnest([{sql_list(_KNOWN)}])), "
+    f"corpus AS (SELECT DISTINCT w FROM words), candidates AS (SELECT w, w AS c FROM corpus UNION ALL {_CANDIDATES}), "
+    "best AS (SELECT w, arg_min(c, (-length(c), c)) AS lemma FROM candidates JOIN vocabulary ON c = v GROUP BY w) "
+    f"SELECT doc_id, string_agg(CASE x.w {_IRREGULAR} ELSE coalesce(lemma, x.w) END, ' ' ORDER BY i) AS clean FROM words x LEFT JOIN best b ON b.w = x.w GROUP BY doc_id",
+)
+def lemmatize_by_vocabulary(spark, d):
+    known = spark.range(1).select(F.explode(F.array(*map(F.lit, _KNOWN))).alias("word"))
+    vocabulary = table(spark, d, "benchmark").select(F.explode(F.split(tx.clean_light(F.col("text")), " ")).alias("word")).union(known)
+    light = comments(spark, d).withColumn("light", tx.clean_light(F.concat("text", F.lit(f" {_PLURALS}"))))
+    return cleaning.lemmatize_by_vocabulary(light, "doc_id", "light", vocabulary).select("doc_id", "clean")

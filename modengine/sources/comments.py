@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -28,16 +31,39 @@ def _csv(spark: SparkSession, multi_line: bool = True):
     return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
 
 
+def _first_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their first line. A scan of the text on the executors keeps one line
+    per file; the driver gets as many as it lists files anyway."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    first = lines.filter("file_block_start = 0").withColumn("n", F.monotonically_increasing_id())
+    found: dict[str, list[str]] = {}
+    for row in first.groupBy("file_path").agg(F.min_by("value", "n").alias("line")).orderBy("file_path").collect():
+        found.setdefault(row["line"].removeprefix("\ufeff").rstrip("\r"), []).append(unquote(row["file_path"]))
+    return found
+
+
 def read_comments(
     spark: SparkSession, path: str, schema: T.StructType = COMMENT_SCHEMA, multi_line: bool = True, unparsed: str | None = None,
+    same_header: bool = False,
 ) -> DataFrame:
     """CSV scan that takes columns by their header names, drops rows with more
     fields than the header and pads short ones with null.
 
-    A column of the schema that the file lacks is null, others of the file are left
+    Of several files each is read by its own header: those with equal headers in
+    one scan, then united by name. That takes a pass over their first lines;
+    ``same_header`` promises that all are alike and saves it.
+
+    A column of the schema that a file lacks is null, others of the file are left
     out. A value that is no number where the schema wants one becomes null; with
     ``unparsed``, a column of that name lists the columns where this happened.
     """
+    if not same_header and len(spark.read.text(path).inputFiles()) > 1:
+        scans = [_read_alike(spark, files, schema, multi_line, unparsed) for files in _first_lines(spark, path).values()]
+        return reduce(DataFrame.unionByName, scans)
+    return _read_alike(spark, path, schema, multi_line, unparsed)
+
+
+def _read_alike(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool, unparsed: str | None) -> DataFrame:
     header = _csv(spark, multi_line).csv(path).columns
     wide = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _CORRUPT]])
     rows = (
@@ -59,9 +85,11 @@ def read_comments(
     return fitting.select(*out)
 
 
-def read_strict(spark: SparkSession, path: str, schema: T.StructType = COMMENT_SCHEMA) -> DataFrame:
-    """CSV scan that fails on the first row that does not fit the schema."""
-    return _csv(spark).option("mode", "FAILFAST").option("enforceSchema", False).schema(schema).csv(path)
+def read_strict(spark: SparkSession, path: str, schema: T.StructType = COMMENT_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """CSV scan that fails on the first row that does not fit the schema, and on a
+    file whose header does not name its columns in order. Without line feeds in
+    quotes, ``multi_line=False`` lets Spark split the files."""
+    return _csv(spark, multi_line).option("mode", "FAILFAST").option("enforceSchema", False).schema(schema).csv(path)
 
 
 def read_required(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

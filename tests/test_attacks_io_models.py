@@ -92,6 +92,37 @@ def test_tolerant_csv_goes_by_header(spark, tmp_path):
     assert comments.read_comments(spark, str(path), multi_line=False).count() == 3
 
 
+def test_files_with_different_headers(spark, tmp_path):
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,comment_text,toxic\n1,first,1\n")
+    (folder / "b.csv").write_text("toxic,id,comment_text\n0,2,second\n1,3,\"two\nlines\"\n0,4,x,extra\n")
+    (folder / "c.csv").write_text("id,comment_text,toxic\r\n5,fifth,0\r\n")
+    (folder / "d.csv").write_text("comment_text\nsixth\n")
+    rows = comments.read_comments(spark, str(folder)).collect()
+    assert sorted((r["comment_text"], r["id"], r["toxic"]) for r in rows) == sorted([
+        ("fifth", "5", 0), ("first", "1", 1), ("second", "2", 0), ("sixth", None, None), ("two\nlines", "3", 1),
+    ], key=lambda r: r[0])
+    alike = tmp_path / "alike"
+    alike.mkdir()
+    for n in (1, 2):
+        (alike / f"{n}.csv").write_text(f"id,comment_text\n{n},text\n")
+    for same in (True, False):
+        assert {r["id"] for r in comments.read_comments(spark, str(alike), same_header=same).collect()} == {"1", "2"}
+
+
+def test_strict_csv_that_spark_can_split(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text("id,comment_text," + ",".join(lexicon.LABELS) + "\n" + "".join(f"{i},text {i},0,0,0,0,0,1\n" for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        one, split = (comments.read_strict(spark, str(path), multi_line=m) for m in (True, False))
+        assert one.rdd.getNumPartitions() == 1 < split.rdd.getNumPartitions()
+        assert sorted(one.collect()) == sorted(split.collect()) and split.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_round_trips(spark, tmp_path):
     df = spark.createDataFrame([("1", 'a "b"\nc', *[0] * 6)], comments.COMMENT_SCHEMA)
     comments.write_csv(df, str(tmp_path / "csv"))

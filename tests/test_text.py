@@ -105,6 +105,33 @@ def test_lemma_table(spark):
     assert [r["out"] for r in out] == ["two mouse run", "", "mouse mouse"]
 
 
+def test_lemmas_by_vocabulary(spark):
+    """The longest result that is a word wins; without one the word stays."""
+    pairs = """dies die, analyses analysis, theses thesis, indices index, matrices matrix, vetoes veto, physics physics,
+    politics politics, mathematics mathematics, does does, goes goes, wives wife, leaves leaf, cookies cookie, cities city, boxes box,
+    buses bus, quizzes quiz, women woman, children child, bacteria bacterium, criteria criterion, cacti cactus, larvae larva, unknowns unknowns,
+    houses house, is is, class class, news news, s s""".replace("\n", " ").split(",")
+    want = dict(p.split() for p in pairs)
+    known = """die dy analysis analyse thesis these index matrix veto physics politics mathematics wife leaf cookie city box bus quiz
+    woman bacterium criterion cactus larva house class news""".split()
+    df = spark.createDataFrame([(1, " ".join(want)), (2, ""), (3, "dies dies")], "id int, clean string")
+    vocabulary = spark.createDataFrame([(w,) for w in known * 2], "word string")
+    out = {r["id"]: r["out"] for r in cleaning.lemmatize_by_vocabulary(df, "id", "clean", vocabulary, "out").collect()}
+    assert dict(zip(want, out[1].split())) == want and out[2] == "" and out[3] == "die die"
+
+
+def test_lookup_is_even_on_a_skewed_corpus(spark):
+    """A word of every text spreads over the salts, and the result is the literal map's."""
+    rows = [(i, " ".join(["cats", f"w{i % 50}s", f"x{i}"])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, clean string")
+    table = {"cats": "cat"} | {f"w{i}s": f"w{i}" for i in range(50)}
+    lemmas = spark.createDataFrame(list(table.items()), "word string, lemma string")
+    out = cleaning.replace_words(df, "id", "clean", lemmas, "out", salts=32)
+    assert {r["id"]: r["out"] for r in out.collect()} == {i: " ".join(table.get(w, w) for w in t.split()) for i, t in rows}
+    sent = df.select(F.explode(F.split("clean", " ")).alias("word"), F.pmod(F.xxhash64("id"), F.lit(32)).alias("salt")).groupBy("word", "salt").count()
+    assert sent.agg(F.max("count")).first()[0] < 2000 / 32 * 2
+
+
 @pytest.mark.parametrize("value, substring, word", [
     ("She met one woman there", 1, 1), ("rain all day", 0, 0), ("", 0, 0), ("THE MAN LEFT", 1, 1),
     ("womann", 1, 0), ("human", 1, 0), (None, 0, 0),
