@@ -3,30 +3,35 @@
 One classifier reads the text content: hashed words and how they repeat. The
 other reads the page's metadata: language, source, length and layout (characters
 per line, shares of character kinds). Both are logistic and learn from the same
-judged documents. Over rounds each labels the pool of documents without a
-judgement; what it is sure of, so many per class, joins the other's training
-data. At the end each view is calibrated on judged documents that neither has
-seen, the calibrated views are combined on them too, and every document is scored
-over its whole text.
-
-Learning sees a bounded sample: at most ``judged`` judged documents and ``pool``
-others, those with the smallest hashes. Scoring sees every row, beside the
-broadcast weights (a few thousand numbers), and shuffles nothing.
+judged documents. Over rounds each view scores every document without a
+judgement; what it is surest of, in the proportion of the judged classes, joins
+the other's training data. At the end each view is calibrated on judged documents
+that neither has seen, the calibrated views are combined on them too, and every
+document is scored over its whole text.
+
+Features are counted once, on the executors, and written in compact form; rounds
+read only them. Spark ML fits the views on the executors. The fits see at most
+``judged`` judged documents (those with the smallest hashes) and ``per_round``
+pseudo-labels a round; candidates for these are all documents. The driver holds
+weights, and two numbers for each judged document kept for calibration.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free_names
+from .common import free_names, written
 
-WORDS = 1024  # hashed words
+WORDS = 2048  # hashed words
 KINDS = 320  # hashed language and source
 _UPPER = np.arange(65, 91)
 _DIGIT = np.arange(48, 58)
@@ -37,7 +42,7 @@ META = KINDS + 9
 
 
 class Features:
-    """Both views of a document as dense vectors; remembers where words go."""
+    """Both views of a document as vectors; remembers where words go."""
 
     def __init__(self, keep: int = 300_000):
         self.keep = keep
@@ -89,107 +94,184 @@ class Logistic:
         return np.asarray(x, dtype=np.float32) @ self.weights + self.bias
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 200) -> Logistic:
-    """Regularised logistic regression by accelerated gradient steps on all rows;
-    the same rows give the same weights."""
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(np.asarray(x, dtype=np.float64) / 2))
+
+
+def calibrated(logits: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 400) -> Logistic:
+    """Logistic fit on one or two columns of logits by accelerated gradient steps."""
+    x = np.asarray(logits, dtype=np.float64)
     mean, spread = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(spread > 1e-6, 1 / np.maximum(spread, 1e-6), 0).astype(np.float32)
-    z = x - mean
-    z *= scale
-    width = float(np.sqrt(np.einsum("ij,ij->", z, z, dtype=np.float64) / len(z))) or 1.0
-    z /= width
-    y = y.astype(np.float32)
-    w = prev = np.zeros(z.shape[1], dtype=np.float32)
+    scale = np.where(spread > 1e-6, 1 / np.maximum(spread, 1e-6), 0)
+    width = max(1.0, np.sqrt(x.shape[1]))
+    z = (x - mean) * scale / width
+    w = prev = np.zeros(x.shape[1])
     b = prev_b = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    rate = 3.0
     for step in range(steps):
         push = step / (step + 3)
         at, at_b = w + push * (w - prev), b + push * (b - prev_b)
-        gap = 1 / (1 + np.exp(-(z @ at + at_b))) - y
+        gap = sigmoid(z @ at + at_b) - y
         prev, prev_b = w, b
-        w = at - rate * (z.T @ gap / len(y) + penalty * at)
-        b = at_b - rate * float(gap.mean())
-    weights = (w * scale / width).astype(np.float32)
-    return Logistic(weights, float(b - mean @ weights))
-
-
-def _calibrated(logits: np.ndarray, y: np.ndarray) -> Logistic:
-    return fit(logits.astype(np.float32), y, penalty=1e-4, steps=400)
-
-
-def co_train(
-    content: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray,
-    rounds: int = 4, sure: float = 0.95, per_class: int = 250,
-) -> dict:
-    """Both views, their calibrations and the combination. ``held`` marks judged
-    rows kept for calibration."""
-    base = [content[~held], meta[~held]]
-    pools = [pool_content, pool_meta]
-    given = [np.full(len(pool_content), -1), np.full(len(pool_content), -1)]  # pseudo-labels for each view
-    for step in range(rounds + 1):
-        views = []
-        for v in (0, 1):
-            got = given[v] >= 0
-            views.append(fit(np.vstack([base[v], pools[v][got]]), np.concatenate([y[~held], given[v][got]])))
-        if step == rounds or not len(pool_content):
+        w, b = at - 3.0 * (z.T @ gap / len(y) + penalty * at), at_b - 3.0 * float(gap.mean())
+    weights = w * scale / width
+    return Logistic(weights.astype(np.float32), float(b - mean @ weights))
+
+
+def packed(row: np.ndarray) -> bytes:
+    """The places and values of a vector that are not zero."""
+    at = np.flatnonzero(row)
+    return at.astype("<u2").tobytes() + row[at].astype("<f4").tobytes()
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 6
+    return np.frombuffer(raw, dtype="<u2", count=n), np.frombuffer(raw, dtype="<f4", offset=2 * n)
+
+
+VIEWS = {"content": CONTENT, "meta": META}
+
+
+def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """(id, content, meta): both views of every document with an id, packed."""
+    @F.pandas_udf("content binary, meta binary")
+    def views(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        make = Features()
+        for texts, langs, sources in parts:
+            yield pd.DataFrame({
+                "content": [packed(make.content(t)) for t in texts],
+                "meta": [packed(make.meta(*r)) for r in zip(texts, langs, sources)],
+            })
+
+    both = views(F.col(text_col), F.col(lang_col).cast("string"), F.col(source_col).cast("string"))
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), both.alias("v")).select("id", "v.*")
+
+
+def fit_view(rows: DataFrame, view: str, trust: float = 0.3, penalty: float = 1e-3, steps: int = 30) -> Logistic:
+    """Spark ML's logistic regression on the rows (view, y, told); a pseudo-label
+    (``told``) weighs ``trust``."""
+    width = VIEWS[view]
+
+    @F.pandas_udf("array<double>")
+    def dense(parts: pd.Series) -> pd.Series:
+        out = np.zeros((len(parts), width))
+        for i, raw in enumerate(parts):
+            at, values = unpacked(raw)
+            out[i, at] = values
+        return pd.Series(list(out))
+
+    table = rows.select(array_to_vector(dense(view)).alias("x"), F.col("y").cast("double").alias("y"), F.when(F.col("told"), trust).otherwise(1.0).alias("w"))
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=penalty, maxIter=steps).fit(table)
+    return Logistic(model.coefficients.toArray().astype(np.float32), float(np.clip(model.intercept, -30, 30)))
+
+
+def view_logits(rows: DataFrame, views: dict[str, Logistic]) -> DataFrame:
+    """The rows with the logit of either view, from the packed features."""
+    shared = rows.sparkSession.sparkContext.broadcast(views)  # a few thousand numbers
+
+    @F.pandas_udf("content double, meta double")
+    def logits(content: pd.Series, meta: pd.Series) -> pd.DataFrame:
+        def of(view: str, parts: pd.Series) -> list[float]:
+            model, out = shared.value[view], []
+            for raw in parts:
+                at, values = unpacked(raw)
+                out.append(float(model.weights[at] @ values) + model.bias)
+            return out
+
+        return pd.DataFrame({"content": of("content", content), "meta": of("meta", meta)})
+
+    return rows.withColumn("logit", logits("content", "meta")).drop("content", "meta")
+
+
+def co_train(known: DataFrame, pool: DataFrame, rounds: int = 2, sure: float = 0.95, per_round: int = 1000) -> dict:
+    """Both views, their calibrations and the combination. ``known`` has judged rows
+    (id, y, held, content, meta); those with ``held`` are kept for calibration. In
+    every round each view gives the other rows of ``pool`` (id, content, meta), up to
+    ``per_round`` and a quarter of the judged ones: its surest, those beyond ``sure`` by
+    its calibration, each class in its share of the judged rows."""
+    seen = known.filter(~F.col("held"))
+    counts = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = {y: n / sum(counts.values()) for y, n in counts.items()}
+    given: dict[str, DataFrame | None] = dict.fromkeys(VIEWS)
+    base = {view: seen.select(view, "y", F.lit(False).alias("told")) for view in VIEWS}
+    other = {"content": "meta", "meta": "content"}
+
+    def fitted(view: str) -> Logistic:
+        rows = base[view] if given[view] is None else base[view].unionByName(given[view].select(view, "y", F.lit(True).alias("told")))
+        # A bounded table: few tasks, so that the many steps of a fit cost little.
+        return fit_view(written(rows.coalesce(6)), view)
+
+    def both() -> dict[str, Logistic]:
+        with ThreadPoolExecutor(2) as threads:
+            return dict(zip(VIEWS, threads.map(fitted, VIEWS)))
+
+    views, total = both(), sum(counts.values())
+    bar = float(np.log(sure / (1 - sure)))
+    for _ in range(rounds):
+        # A view is as sure as its calibration on rows it has not seen allows.
+        scaled = calibrations(known, views)[0]
+        scored = view_logits(pool, views).select("id", F.struct(*[
+            (F.col(f"logit.{v}") * float(m.weights[0]) + m.bias).alias(v) for v, m in scaled.items()
+        ]).alias("logit"))
+        scored = written(scored)
+        changed = False
+        for view in VIEWS:
+            told = other[view]
+            rows = scored if given[told] is None else scored.join(given[told].select("id"), "id", "left_anti")
+            # The rarer class says how many there are; the other follows in its share.
+            parts, most = [], min(per_round, total // 4)
+            for y, part in sorted(share.items(), key=lambda x: x[1]):
+                by = F.col(f"logit.{view}") * (1 if y else -1)
+                surest = written(rows.filter(by >= bar).orderBy(by.desc(), "id").limit(round(most * part)).select("id", F.lit(y).alias("y")))
+                most = min(most, round(surest.count() / part))
+                parts.append(surest)
+            picked = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            fresh = written(pool.join(written(picked.dropDuplicates(["id"])), "id"))  # rows of the other view's training table
+            changed = changed or not fresh.isEmpty()
+            given[told] = fresh if given[told] is None else given[told].unionByName(fresh)
+        if not changed:
             break
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-views[v].logit(pools[v])))
-            for label, score in ((1, p), (0, 1 - p)):
-                # Sure enough, and no label from this view yet.
-                fresh = np.flatnonzero((score >= sure) & (given[1 - v] < 0))
-                given[1 - v][fresh[np.argsort(-score[fresh], kind="stable")[:per_class]]] = label
-    rest = held if 0 < y[held].sum() < held.sum() else np.ones(len(y), dtype=bool)
-    logits = [views[0].logit(content[rest])[:, None], views[1].logit(meta[rest])[:, None]]
-    scaled = [_calibrated(x, y[rest]) for x in logits]
-    both = np.hstack([s.logit(x)[:, None] for s, x in zip(scaled, logits)])
-    return {"views": views, "scaled": scaled, "both": _calibrated(both, y[rest])}
+        views = both()
+    scaled, pairs, y = calibrations(known, views)
+    return {"views": views, "scaled": scaled, "both": calibrated(pairs, y)}
+
+
+def calibrations(known: DataFrame, views: dict[str, Logistic]) -> tuple[dict[str, Logistic], np.ndarray, np.ndarray]:
+    """Every view's calibration, the calibrated logits of the judged rows it was made
+    on, and their classes. The rows are those kept for it, if they hold both classes."""
+    spare = known.filter("held").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("good")).first()
+    rest = known.filter("held") if 0 < spare["good"] < spare["n"] else known
+    rows = view_logits(rest, views).select("id", "y", "logit.content", "logit.meta").orderBy("id", "y", "content", "meta").collect()
+    y = np.array([r["y"] for r in rows], dtype=np.float64)
+    logits = {view: np.array([[r[view]] for r in rows]) for view in VIEWS}
+    scaled = {view: calibrated(logits[view], y) for view in VIEWS}
+    return scaled, np.column_stack([scaled[view].logit(logits[view]) for view in VIEWS]), y
 
 
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, label_col: str,
-    judged: int, pool: int, seed: int = 7,
+    judged: int, rounds: int, per_round: int, seed: int = 7,
 ) -> dict | None:
     """The co-trained model, or None where the judged documents lack a class."""
-    order = F.xxhash64(F.col("id").cast("string"), F.lit(seed))
-    told = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
-    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null")
-    here = told.join(ids, "id", "left_semi").orderBy(order, "id").limit(judged)
-    free = ids.join(told.select("id"), "id", "left_anti").distinct().orderBy(order, "id").limit(pool).withColumn("y", F.lit(None).cast("int"))
-    wanted = here.select("id", F.col("y").cast("int").alias("y")).unionByName(free)
-    body = F.struct(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    texts = docs.select(F.col(id_col).alias("id"), body.alias("body"))
-    found = texts.join(F.broadcast(wanted), "id")  # at most judged + pool ids
-    found = found.groupBy("id", "y").agg(F.min_by("body", F.xxhash64("body")).alias("body")).select("id", "y", "body.*")
-
-    def views(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = Features()
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at:at + 500]
-                yield pd.DataFrame({
-                    "id": part["id"].astype(str), "y": part["y"].fillna(-1).astype("int32"),
-                    "content": [make.content(t).tobytes() for t in part["text"]],
-                    "meta": [make.meta(*r).tobytes() for r in zip(part["text"], part["lang"], part["source"])],
-                })
-
-    rows = found.mapInPandas(views, "id string, y int, content binary, meta binary").toPandas().sort_values("id")
-    read = lambda c, n: np.frombuffer(b"".join(map(bytes, rows[c])), dtype=np.float32).reshape(-1, n)
-    content, meta, y = read("content", CONTENT), read("meta", META), rows["y"].to_numpy()
-    rows = rows[["id"]]
-    known = y >= 0
-    if len(np.unique(y[known])) < 2:
-        return None
-    held = np.array([zlib.crc32(i.encode()) % 5 == 0 for i in rows["id"][known]])
-    train = y[known][~held]
-    if len(np.unique(train)) < 2:
-        held[:] = False
-    return co_train(content[known], meta[known], y[known], held, content[~known], meta[~known])
+    told = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
+    told = written(told)
+    table = written(features(docs, id_col, text_col, lang_col, source_col))
+    key = F.col("id").cast("string")
+    # Rows that repeat an id are one judged document, the first of them in the order of their features.
+    here = table.join(told, "id").groupBy("id", "y").agg(F.min(F.struct("content", "meta")).alias("v")).select("id", "y", "v.*")
+    known = written(here.withColumn("held", F.crc32(key) % 5 == 0).orderBy(F.xxhash64(key, F.lit(seed)), "id").limit(judged))
+    classes = known.groupBy("held").agg(F.countDistinct("y").alias("n")).collect()
+    n = {r["held"]: r["n"] for r in classes}
+    if n.get(False, 0) < 2:
+        if known.select("y").distinct().count() < 2:
+            return None
+        known = known.withColumn("held", F.lit(False))
+    return co_train(known, table.join(told.select("id"), "id", "left_anti"), rounds, per_round=per_round)
 
 
 def score_documents(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    source_col: str = "source", label_col: str = "quality", judged: int = 5000, pool: int = 3000, reject_below: float = 0.35,
+    source_col: str = "source", label_col: str = "quality", judged: int = 8000, rounds: int = 2, per_round: int = 1000,
+    reject_below: float = 0.35,
 ) -> DataFrame:
     """The documents with ``p_text``, ``p_meta`` (calibrated views), ``score`` (both;
     the probability of good quality) and ``kept`` (score at or above
@@ -202,7 +284,7 @@ def score_documents(
     names of the documents stay, and the new ones get underscores before theirs.
     """
     names = free_names(docs, ["p_text", "p_meta", "score", "kept"])
-    model = learn(docs, labels, id_col, text_col, lang_col, source_col, label_col, judged, pool)
+    model = learn(docs, labels, id_col, text_col, lang_col, source_col, label_col, judged, rounds, per_round)
     if model is None:
         nothing = F.lit(None).cast("double")
         return docs.select("*", *[nothing.alias(n) for n in names[:3]], F.lit(True).alias(names[3]))
@@ -212,11 +294,10 @@ def score_documents(
     def scored(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         make, m = Features(), shared.value
         for texts, langs, sources in parts:
-            views = np.array([
-                (m["views"][0].logit(make.content(t)), m["views"][1].logit(make.meta(t, a, s))) for t, a, s in zip(texts, langs, sources)
-            ], dtype=np.float32).reshape(-1, 2)
-            scaled = np.column_stack([m["scaled"][v].logit(views[:, v:v + 1]) for v in (0, 1)])
-            p = 1 / (1 + np.exp(-np.column_stack([scaled, m["both"].logit(scaled)]).astype(np.float64)))
+            rows = [(make.content(t), make.meta(t, a, c)) for t, a, c in zip(texts, langs, sources)]
+            logits = np.array([[m["views"][v].logit(x) for v, x in zip(VIEWS, row)] for row in rows]).reshape(-1, 2)
+            scaled = np.column_stack([m["scaled"][v].logit(logits[:, i:i + 1]) for i, v in enumerate(VIEWS)])
+            p = sigmoid(np.column_stack([scaled, m["both"].logit(scaled)]))
             yield pd.DataFrame(p, columns=["p_text", "p_meta", "score"])
 
     (held,) = free_names(docs, ["co_scores"])
