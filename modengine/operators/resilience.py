@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as Wd, functions as F
 
 from ..functions import lexicon, tags
 from ..functions.text import normalize_obfuscation
+from .cleaning import computed_once
 from .curves import confusion_at, point_counts, score_points, tuned
 from .metrics import apply_thresholds, f1_of, macro_micro, precision_of, ratio, recall_of, subset_accuracy
 from .ranking import join_null_safe
@@ -104,22 +105,39 @@ def resilience_ratio(preds: DataFrame, by: str = "pattern", clean: str | int = "
     return f1.withColumn("resilience", F.try_divide("f1_macro", "f1_clean"))
 
 
-def attack_predictions(attacked: DataFrame, key: Sequence[str], original: str = "text", col: str = "attacked") -> DataFrame:
+def with_truth(df: DataFrame, col: str = "text", out: str = "truth") -> DataFrame:
+    """Adds the keyword labels of a text as one struct, computed before the table is
+    fanned out into attacked variants: once per text and not once per variant."""
+    found = tags.weak_label_columns(F.col("_low"))
+    low = df.withColumn("_low", F.lower(col))
+    return computed_once(low.withColumn(out, F.struct(*[found[l].alias(l) for l in lexicon.LABELS])).drop("_low"), out)
+
+
+def attack_predictions(
+    attacked: DataFrame, key: Sequence[str], original: str = "text", col: str = "attacked", truth: str | None = None,
+) -> DataFrame:
     """Keyword labels of the original (y) and of the attacked text (pred), as rows
-    (key…, label, y, pred): what a keyword filter loses to an attack."""
-    low = attacked.withColumn("_y", F.lower(original)).withColumn("_p", F.lower(col))
-    y, p = tags.weak_label_columns(F.col("_y")), tags.weak_label_columns(F.col("_p"))
+    (key…, label, y, pred): what a keyword filter loses to an attack. ``truth`` names
+    a column of ``with_truth``, which saves labelling the original again."""
+    if truth is None:
+        attacked, truth = with_truth(attacked, original, "_truth"), "_truth"
+    low = attacked.withColumn("_p", F.lower(col))
+    y, p = {l: F.col(f"{truth}.{l}") for l in lexicon.LABELS}, tags.weak_label_columns(F.col("_p"))
     pairs = F.array(*[F.struct(F.lit(l).alias("label"), y[l].alias("y"), p[l].alias("pred")) for l in lexicon.LABELS])
     return low.select(*key, F.inline(pairs))
 
 
-def defence_gain(attacked: DataFrame, by: Sequence[str] = ("pattern",), original: str = "text", col: str = "attacked") -> DataFrame:
+def defence_gain(
+    attacked: DataFrame, by: Sequence[str] = ("pattern",), original: str = "text", col: str = "attacked", truth: str | None = None,
+) -> DataFrame:
     """How many keyword labels of the original an attack hides, and how many of
-    them the normalizer brings back, per pattern and label."""
-    low = attacked.withColumns({
-        "_y": F.lower(original), "_a": F.lower(col), "_n": normalize_obfuscation(F.col(col)),
-    })
-    parts = {k: tags.weak_label_columns(F.col(c)) for k, c in {"y": "_y", "a": "_a", "n": "_n"}.items()}
+    them the normalizer brings back, per pattern and label; ``truth`` as in
+    ``attack_predictions``."""
+    if truth is None:
+        attacked, truth = with_truth(attacked, original, "_truth"), "_truth"
+    low = attacked.withColumns({"_a": F.lower(col), "_n": normalize_obfuscation(F.col(col))})
+    parts = {k: tags.weak_label_columns(F.col(c)) for k, c in {"a": "_a", "n": "_n"}.items()}
+    parts["y"] = {l: F.col(f"{truth}.{l}") for l in lexicon.LABELS}
     rows = low.select(*by, F.inline(F.array(*[
         F.struct(F.lit(l).alias("label"), *[v[l].alias(k) for k, v in parts.items()]) for l in lexicon.LABELS
     ])))

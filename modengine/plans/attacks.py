@@ -213,8 +213,8 @@ def _pairs_sql(source: str, keys: str, y: str, p: str) -> str:
        "SELECT pattern, round(f1_macro, 9) AS f1_macro, round(c, 9) AS f1_clean, round(f1_macro / nullif(c, 0), 9) AS resilience "
        "FROM f, (SELECT f1_macro AS c FROM f WHERE pattern = 'original')")
 def resilience_by_pattern(spark, d):
-    variants = attacks.obfuscation_variants(comments(spark, d), "text", "doc_id")
-    preds = resilience.attack_predictions(variants, ["pattern"])
+    variants = attacks.obfuscation_variants(resilience.with_truth(comments(spark, d)), "text", "doc_id")
+    preds = resilience.attack_predictions(variants, ["pattern"], truth="truth")
     return rounded(resilience.resilience_ratio(preds))
 
 
@@ -259,5 +259,5 @@ def _defence_sql() -> str:
 
 @query("defence_gain", _defence_sql())
 def defence_gain(spark, d):
-    variants = attacks.obfuscation_variants(comments(spark, d), "text", "doc_id")
-    return resilience.defence_gain(variants)
+    variants = attacks.obfuscation_variants(resilience.with_truth(comments(spark, d)), "text", "doc_id")
+    return resilience.defence_gain(variants, truth="truth")
