@@ -178,16 +178,20 @@ def confusion_at(points: DataFrame, thresholds: DataFrame, by: Sequence[str] = B
     )
 
 
-def auc_macro(aucs: DataFrame, by: Sequence[str] = ("model",), undefined: str = "null") -> DataFrame:
-    """Mean AUC of the labels. ``null`` gives null if any label has none, ``half``
-    counts such a label as 0.5, ``skip`` leaves it out."""
+def macro_of_aucs(undefined: str = "null") -> Column:
+    """Mean of ``roc_auc``. ``null`` gives null if any label has none, ``half`` counts
+    such a label as 0.5, ``skip`` leaves it out."""
     auc = F.col("roc_auc")
-    mean = {
+    return {
         "null": F.when(F.count_if(auc.isNull()) == 0, F.avg(auc)),
         "half": F.avg(F.coalesce(auc, F.lit(0.5))),
         "skip": F.avg(auc),
     }[undefined]
-    return aucs.groupBy(*by).agg(mean.alias("roc_auc_macro"))
+
+
+def auc_macro(aucs: DataFrame, by: Sequence[str] = ("model",), undefined: str = "null") -> DataFrame:
+    """Mean AUC of the labels, by one of the three policies of ``macro_of_aucs``."""
+    return aucs.groupBy(*by).agg(macro_of_aucs(undefined).alias("roc_auc_macro"))
 
 
 def scan_threshold(counts: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as Wd, functions as F
 from ..functions import lexicon, tags
 from ..functions.text import normalize_obfuscation
 from .cleaning import computed_once
-from .curves import confusion_at, point_counts, score_points, tuned
+from .curves import confusion_at, macro_of_aucs, point_counts, score_points, tuned
 from .metrics import apply_thresholds, f1_of, macro_micro, precision_of, ratio, recall_of, subset_accuracy
 from .ranking import join_null_safe
 
@@ -47,10 +47,11 @@ def per_label_metrics(scores: DataFrame, by: Sequence[str] = ("model",)) -> Data
 
 def metric_record(
     scores: DataFrame, thresholds: DataFrame | None = None, by: Sequence[str] = ("model",), id_col: str = "id",
-    nested: bool = False,
+    nested: bool = False, undefined: str = "null",
 ) -> DataFrame:
     """The full evaluation of each model: overall metrics and, with ``nested``,
-    the per-label records as a map. The scores are read twice: for the points and,
+    the per-label records as a map. ``undefined`` says what a label without an AUC
+    does to the macro AUC, as in ``auc_macro``: null, half or skip. The scores are read twice: for the points and,
     with the thresholds known, for the rows that have every label right."""
     by, keys = list(by), [*by, "label"]
     labels = per_label_record(score_points(scores, keys), thresholds, by)
@@ -58,7 +59,7 @@ def metric_record(
     tp, fp, fn = F.sum("true_positives"), F.sum("false_positives"), F.sum("false_negatives")
     parts = [
         F.avg("f1").alias("f1_macro"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1_micro"),
-        F.when(F.count_if(F.col("roc_auc").isNull()) == 0, F.avg("roc_auc")).alias("roc_auc_macro"),
+        macro_of_aucs(undefined).alias("roc_auc_macro"),
     ]
     if nested:
         entry = F.struct("label", F.struct(*PER_LABEL).alias("m"))

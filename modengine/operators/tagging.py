@@ -137,6 +137,20 @@ def cleaning_effectiveness(df: DataFrame, original: str = "text", cleaned: str =
     return sums.withColumn("reduction_pct", share)
 
 
+def set_totals(df: DataFrame) -> DataFrame:
+    """Rows, toxic and clean rows, their share, and different patterns of an attack set."""
+    toxic = F.coalesce(F.sum("is_toxic"), F.lit(0))
+    return df.agg(
+        F.count("*").alias("n_rows"), toxic.alias("n_toxic"), (F.count("*") - toxic).alias("n_clean"),
+        F.avg("is_toxic").alias("toxic_share"), F.countDistinct("pattern").alias("n_patterns"),
+    )
+
+
+def set_head(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows of an attack set in a given order: a top-k, not a full sort."""
+    return df.orderBy(*order).limit(n)
+
+
 def set_stats(df: DataFrame) -> DataFrame:
     """Rows, toxic rows and toxic share per pattern of an attack set, commonest first."""
     return df.groupBy("pattern").agg(

@@ -181,6 +181,13 @@ def attack_set_stats(spark, d):
     return tagging.set_stats(attacks.attack_rows(_base(spark, d), seed=SEED))
 
 
+@query("attack_set_totals",
+       f"WITH {_SET.split(', stage1 AS')[0]} SELECT count(*) AS n_rows, count(*) FILTER (NOT clean) AS n_toxic, count(*) FILTER (clean) AS n_clean, "
+       "avg((NOT clean)::INT) AS toxic_share, count(DISTINCT CASE WHEN clean THEN 'clean' ELSE array_to_string(names, '+') END) AS n_patterns FROM stage0")
+def attack_set_totals(spark, d):
+    return tagging.set_totals(attacks.attack_rows(_base(spark, d), seed=SEED))
+
+
 _DRAWN = (
     "numbered AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5(concat_ws(':', '42', base_id)), base_id) - 1 AS pos, "
     "count(*) OVER (PARTITION BY class) AS size FROM base), "

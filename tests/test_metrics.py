@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modengine.functions import lexicon
-from modengine.operators import curves, metrics, resilience, sampling
+from modengine.operators import curves, metrics, resilience, sampling, tagging
 from modengine.operators.ranking import ranked
 from modengine.functions.rand import hash_hex
 
@@ -119,6 +119,21 @@ def test_record_agrees_with_predictions(spark, scores):
     assert record["f1_macro"] == pytest.approx(mm["f1_macro"]) and record["f1_micro"] == pytest.approx(mm["f1_micro"])
 
 
+def test_record_follows_the_policy_for_undefined_aucs(spark):
+    rows = [(i, "m", label, y, i / 10) for i in range(6) for label, y in (("toxic", i % 2), ("insult", 0))]
+    df = spark.createDataFrame(rows, "id int, model string, label string, y int, p double")
+    macro = {u: resilience.metric_record(df, undefined=u).first()["roc_auc_macro"] for u in ("null", "half", "skip")}
+    assert macro["null"] is None and macro["half"] == pytest.approx((macro["skip"] + 0.5) / 2)
+
+
+def test_set_totals_and_head(spark):
+    rows = [(i, ["leetspeak", "clean", "unicode"][i % 3], int(i % 3 != 1)) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, pattern string, is_toxic int")
+    assert tuple(tagging.set_totals(df).first()) == (30, 20, 10, pytest.approx(2 / 3), 3)
+    assert tuple(tagging.set_totals(df.limit(0)).first()) == (0, 0, 0, None, 0)
+    assert [r["id"] for r in tagging.set_head(df, ["is_toxic", "id"], 3).collect()] == [1, 4, 7]
+
+
 def test_partitioning_does_not_matter(scores):
     a = resilience.per_label_metrics(scores.repartition(1)).orderBy("label").collect()
     b = resilience.per_label_metrics(scores.repartition(13, "p")).orderBy("label").collect()
