@@ -74,8 +74,8 @@ def mix(
     ``total``: tokens to take; by default as many as there are. A leaf takes
     documents while the tokens before them are below its budget, so it ends at
     most one document above it. Null ids, languages, sources and domains count as
-    '' ; a null text has one token. Rows that repeat id and text are one document,
-    taken or left together, each with its tokens. An empty table gives no rows.
+    '' ; a null text has one token. Rows that repeat id and text stay rows of
+    their own, each with its tokens. An empty table gives no rows.
     """
     level = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     rows = written(docs.select(
@@ -111,12 +111,16 @@ def mix(
 
 def mixed_documents(docs: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that ``mix`` takes, as often as it takes them, with all
-    their columns."""
+    their columns. Of rows that repeat id and text one stands for all, as often as
+    any of them is taken."""
     taken = mix(docs, domain, id_col=id_col, text_col=text_col, **options)
-    # Rows that repeat id and text were all counted; one of them stands for its share.
-    times = taken.groupBy("id", "th").agg(F.max("epoch").alias("last"))
-    key, n, reps = free_names(docs, ["mix_hash", "mix_last", "mix_copy"])
-    times = times.select(F.col("id").alias("_mid"), F.col("th").alias("_mth"), F.col("last").alias(n))
+    key, n, many = free_names(docs, ["mix_hash", "mix_times", "mix_many"])
+    times = taken.groupBy("id", "th").agg(F.count("*").cast("int").alias(n)).withColumnsRenamed({"id": "_mid", "th": "_mth"})
     keyed = docs.withColumn(key, F.xxhash64(text_col))
+    again = keyed.groupBy(F.col(id_col).alias("_aid"), F.col(key).alias("_ath")).agg(F.count("*").alias("_c")).filter("_c > 1")
+    again = written(again.select("_aid", "_ath", F.lit(True).alias(many)))
     joined = keyed.join(times, keyed[id_col].eqNullSafe(times["_mid"]) & (keyed[key] == times["_mth"]))
-    return joined.withColumn(reps, F.explode(F.sequence(F.lit(0), F.col(n)))).select(*docs.columns)
+    joined = joined.join(again, joined[id_col].eqNullSafe(again["_aid"]) & (joined[key] == again["_ath"]), "left")
+    one = joined.filter(F.col(many)).dropDuplicates([id_col, key])
+    rows = joined.filter(F.col(many).isNull()).unionByName(one)
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -86,6 +86,7 @@ class SumOfSquares:
         self.size = size
         self.counts = np.zeros(size + 1, dtype=np.int64)
         self.open: list[list[list[Piece]]] = [[] for _ in range(size + 1)]
+        self.n_open = 0
 
     def place(self, piece: Piece) -> list[Piece] | None:
         """Put a piece shorter than a window into the best level; the pieces of
@@ -101,6 +102,7 @@ class SumOfSquares:
         if level:
             window = self.open[level].pop()
             counts[level] -= 1
+            self.n_open -= 1
         else:
             window = []
         window.append(piece)
@@ -108,6 +110,7 @@ class SumOfSquares:
             return window
         self.open[level + n].append(window)
         counts[level + n] += 1
+        self.n_open += 1
         return None
 
     def close(self) -> Iterator[list[Piece]]:
@@ -145,13 +148,17 @@ class SumOfSquares:
 
 def pack(
     docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-    size: int = 2048, end_id: int = 1, with_ids: bool = False,
+    size: int = 2048, end_id: int = 1, with_ids: bool = False, open_windows: int = 4096,
 ) -> DataFrame:
     """One row per piece: the id, ``start`` (ids of its document before it),
     ``length``, ``ids_crc32`` (of the ids as little-endian 32-bit words),
     ``doc_tokens`` (end id included), ``sequence_id``, ``offset`` (gapless from 0 in
     the sequence) and, with ``with_ids``, the ids themselves.
 
+    A task holds at most ``open_windows`` windows that are not full, with the ids of
+    their documents. Beyond that they are cut into each other, so all but one of
+    them are full, and packing goes on with none open.
+
     A null text counts as empty and gives one end id. Every row is packed, rows
     that repeat an id as well. Windows belong to the task that scanned the rows;
     their numbers start at the task's number times 2**40. An empty table gives
@@ -203,6 +210,9 @@ def pack(
                     full = levels.place((done, whole, n - whole))
                     if full:
                         emit(full)
+                    if levels.n_open > open_windows:
+                        for window in levels.close():
+                            emit(window)
                 done += 1
                 if len(out) >= 20_000:
                     yield frame()

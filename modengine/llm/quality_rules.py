@@ -5,8 +5,11 @@ measure then goes into a sketch per (language, source): counts per bin, where a
 bin keeps the six leading binary digits of the measure, so a quantile is read
 with an error below 1/32. Sketches merge by adding counts; the merges give the
 sketches of a language and of all documents, which stand in for sources with few
-documents. Fences two box heights beyond the quartiles replace fixed cutoffs, and
-a join on (language, source) filters. Counts are combined before they are
+documents. Fences four box heights beyond the quartiles replace fixed cutoffs, and
+a join on (language, source) filters. No cutoff is a constant: where the
+quartiles coincide, the box is taken to be as high as a few events (symbols,
+letters, repeated lines or words) weigh in the group's median document, which
+comes from a sketch as well. Counts are combined before they are
 shuffled, so a source with a third of all rows costs what any other costs.
 """
 
@@ -25,20 +28,20 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Measure:
-    """A whole number per document; ``floor``: the upper fence never falls below
-    it; ``lower``: there is a lower fence as well, never above this."""
+    """A whole number per document, how much a few events weigh in it, and whether
+    there is a lower fence as well."""
 
     name: str
     value: str  # SQL over the counts; whole numbers only
-    floor: int
-    lower: int | None = None
+    unit: str
+    both: bool = False
 
 
 MEASURES = [
-    Measure("word_length", "100 * word_chars div n_words", 900, 300),  # hundredths of a character
-    Measure("symbols", "1000 * n_symbols div word_chars", 60),  # per thousand characters
-    Measure("dup_lines", "1000 * n_dup_lines div n_lines", 300),  # per thousand lines
-    Measure("repeat_words", "1000 * n_repeat_words div n_words", 100),  # per thousand words
+    Measure("word_length", "100 * word_chars div n_words", "400 div n_words", True),  # hundredths of a character; four letters
+    Measure("symbols", "1000 * n_symbols div word_chars", "4000 div word_chars"),  # per thousand characters; four symbols
+    Measure("dup_lines", "1000 * n_dup_lines div n_lines", "1000 div n_lines"),  # per thousand lines; one line
+    Measure("repeat_words", "1000 * n_repeat_words div n_words", "10000 div n_words"),  # per thousand words; two windows
 ]
 
 
@@ -88,12 +91,13 @@ def bin_of(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
 
 
-def fences(measured: DataFrame, measures: list[Measure], min_docs: int = 100, reach: int = 2) -> DataFrame:
+def fences(measured: DataFrame, measures: list[Measure], min_docs: int = 100, reach: int = 4) -> DataFrame:
     """One row per (lang, source): ``low_<measure>`` and ``high_<measure>``, from the
     documents that do not fail the base rule. Groups of fewer than ``min_docs``
     such documents take the sketch of their language, and languages of fewer the
     sketch of all."""
-    entries = F.array(*[F.struct(F.lit(m.name).alias("measure"), bin_of(F.col(m.name)).alias("bin")) for m in measures])
+    kinds = [n for m in measures for n in (m.name, f"{m.name}_unit")]
+    entries = F.array(*[F.struct(F.lit(n).alias("measure"), bin_of(F.col(n)).alias("bin")) for n in kinds])
     sketch = measured.filter(~F.col("base_failed")).select("lang", "source", F.inline(entries)).groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
     sketch = written(sketch)
     groups = measured.select("lang", "source").distinct()
@@ -103,15 +107,16 @@ def fences(measured: DataFrame, measures: list[Measure], min_docs: int = 100, re
         run = merged.withColumns({"c": F.sum("n").over(of.orderBy("bin")), "t": F.sum("n").over(of)})
         return run.groupBy(*by, "measure").agg(
             F.max("t").alias("t"), F.min(F.when(F.col("c") * 4 >= F.col("t"), F.col("bin"))).alias("q1"),
+            F.min(F.when(F.col("c") * 2 >= F.col("t"), F.col("bin"))).alias("q2"),
             F.min(F.when(F.col("c") * 4 >= F.col("t") * 3, F.col("bin"))).alias("q3"),
         )
 
     def level(by: list[str], tag: str) -> DataFrame:
         merged = sketch.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
-        return quartiles(merged, by).select(*[F.col(c).alias(f"{tag}_{c}") for c in by], F.col("measure").alias(f"{tag}_m"), F.struct("t", "q1", "q3").alias(tag))
+        return quartiles(merged, by).select(*[F.col(c).alias(f"{tag}_{c}") for c in by], F.col("measure").alias(f"{tag}_m"), F.struct("t", "q1", "q2", "q3").alias(tag))
 
     leaf, lang, whole = level(["lang", "source"], "leaf"), level(["lang"], "lng"), level([], "all")
-    names = F.explode(F.array(*[F.lit(m.name) for m in measures]))
+    names = F.explode(F.array(*[F.lit(n) for n in kinds]))
     rows = groups.select("lang", "source", names.alias("measure"))
     rows = rows.join(leaf, same(rows["lang"], leaf["leaf_lang"]) & same(rows["source"], leaf["leaf_source"]) & (rows["measure"] == leaf["leaf_m"]), "left")
     rows = rows.join(lang, same(rows["lang"], lang["lng_lang"]) & (rows["measure"] == lang["lng_m"]), "left")
@@ -122,15 +127,16 @@ def fences(measured: DataFrame, measures: list[Measure], min_docs: int = 100, re
     out = []
     for m in measures:
         q1, q3 = of(m.name, "q1"), of(m.name, "q3")
-        out.append(F.greatest(q3 + reach * (q3 - q1), F.lit(m.floor)).alias(f"high_{m.name}"))
-        if m.lower is not None:
-            out.append(F.least(q1 - reach * (q3 - q1), F.lit(m.lower)).alias(f"low_{m.name}"))
+        box = F.greatest(q3 - q1, of(f"{m.name}_unit", "q2"), F.lit(1))
+        out.append((q3 + reach * box).alias(f"high_{m.name}"))
+        if m.both:
+            out.append((q1 - reach * box).alias(f"low_{m.name}"))
     return rows.groupBy("lang", "source").agg(*out)
 
 
 def apply_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    measures: list[Measure] = MEASURES, min_docs: int = 100, reach: int = 2, min_words: int = 10, repeat_share: int = 20,
+    measures: list[Measure] = MEASURES, min_docs: int = 100, reach: int = 4, min_words: int = 10, repeat_share: int = 20,
 ) -> DataFrame:
     """One row per document: the id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, ``base_failed`` (fewer than ``min_words`` words, or more than
@@ -148,14 +154,15 @@ def apply_rules(
     rows = written(counts(plain).drop("text"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_share * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    measured = rows.withColumns({m.name: F.when(F.col("n_words") > 0, F.expr(f"cast({m.value} as bigint)")) for m in measures})
+    sql = {n: e for m in measures for n, e in ((m.name, m.value), (f"{m.name}_unit", m.unit))}
+    measured = rows.withColumns({n: F.when(F.col("n_words") > 0, F.expr(f"cast({e} as bigint)")) for n, e in sql.items()})
     limits = fences(measured, measures, min_docs, reach)
     limits = limits.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     joined = measured.join(limits, same(F.col("lang"), F.col("of_lang")) & same(F.col("source"), F.col("of_source")), "left")
     outside = []
     for m in measures:
         bad = F.col(m.name) > F.col(f"high_{m.name}")
-        if m.lower is not None:
+        if m.both:
             bad = bad | (F.col(m.name) < F.col(f"low_{m.name}"))
         outside.append(F.when(bad, F.lit(m.name)))
     broken = F.concat_ws(",", *outside)

@@ -109,7 +109,9 @@ WITH words AS (
         CASE WHEN n_words > 0 THEN 100 * word_chars // n_words END AS word_length,
         CASE WHEN n_words > 0 THEN 1000 * n_symbols // word_chars END AS symbols,
         CASE WHEN n_words > 0 THEN 1000 * n_dup_lines // n_lines END AS dup_lines,
-        CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words END AS repeat_words
+        CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words END AS repeat_words,
+        CASE WHEN n_words > 0 THEN 400 // n_words END AS word_length_unit, CASE WHEN n_words > 0 THEN 4000 // word_chars END AS symbols_unit,
+        CASE WHEN n_words > 0 THEN 1000 // n_lines END AS dup_lines_unit, CASE WHEN n_words > 0 THEN 10000 // n_words END AS repeat_words_unit
     FROM base
 ), long AS (
     SELECT lang, source, u.m, u.v FROM (SELECT lang, source, unnest([%s]) AS u FROM measured WHERE NOT base_failed)
@@ -121,25 +123,26 @@ WITH words AS (
 ), run AS (
     SELECT *, sum(n) OVER (PARTITION BY g, lang, source, m ORDER BY bin) AS c, sum(n) OVER (PARTITION BY g, lang, source, m) AS t FROM levels
 ), q AS (
-    SELECT g, lang, source, m, max(t) AS t, min(bin) FILTER (4 * c >= t) AS q1, min(bin) FILTER (4 * c >= 3 * t) AS q3 FROM run GROUP BY ALL
+    SELECT g, lang, source, m, max(t) AS t, min(bin) FILTER (4 * c >= t) AS q1, min(bin) FILTER (2 * c >= t) AS q2, min(bin) FILTER (4 * c >= 3 * t) AS q3 FROM run GROUP BY ALL
 ), chosen AS (
     SELECT g.lang, g.source, g.m, CASE WHEN a.t >= 100 THEN a.q1 WHEN b.t >= 100 THEN b.q1 ELSE c.q1 END AS q1,
-        CASE WHEN a.t >= 100 THEN a.q3 WHEN b.t >= 100 THEN b.q3 ELSE c.q3 END AS q3
+        CASE WHEN a.t >= 100 THEN a.q2 WHEN b.t >= 100 THEN b.q2 ELSE c.q2 END AS q2, CASE WHEN a.t >= 100 THEN a.q3 WHEN b.t >= 100 THEN b.q3 ELSE c.q3 END AS q3
     FROM (SELECT DISTINCT lang, source, unnest([%s]) AS m FROM measured) g
     LEFT JOIN q a ON a.g = 0 AND a.lang = g.lang AND a.source = g.source AND a.m = g.m
     LEFT JOIN q b ON b.g = 1 AND b.lang = g.lang AND b.m = g.m LEFT JOIN q c ON c.g = 3 AND c.m = g.m
 ), fence AS (
-    SELECT lang, source, m, q1 - 2 * (q3 - q1) AS low, q3 + 2 * (q3 - q1) AS high FROM chosen
+    SELECT v.lang, v.source, v.m, v.q1 - 4 * greatest(v.q3 - v.q1, u.q2, 1) AS low, v.q3 + 4 * greatest(v.q3 - v.q1, u.q2, 1) AS high
+    FROM chosen v JOIN chosen u ON u.lang = v.lang AND u.source = v.source AND u.m = v.m || '_unit'
 ), failed AS (
     SELECT d.doc_id, %s AS failed FROM measured d %s
 )
 SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed
 FROM measured d JOIN failed f ON f.doc_id = d.doc_id
 """ % (
-    ", ".join(f"{{'m': '{m}', 'v': {m}}}" for m in _OP3_MEASURES),
-    ", ".join(f"'{m}'" for m in _OP3_MEASURES),
+    ", ".join(f"{{'m': '{m}{u}', 'v': {m}{u}}}" for m in _OP3_MEASURES for u in ("", "_unit")),
+    ", ".join(f"'{m}{u}'" for m in _OP3_MEASURES for u in ("", "_unit")),
     "concat_ws(',', " + ", ".join(
-        f"CASE WHEN {m.name} > greatest(f{k}.high, {m.floor})" + (f" OR {m.name} < least(f{k}.low, {m.lower})" if m.lower is not None else "")
+        f"CASE WHEN {m.name} > f{k}.high" + (f" OR {m.name} < f{k}.low" if m.both else "")
         + f" THEN '{m.name}' END" for k, m in enumerate(quality_rules.MEASURES)
     ) + ")",
     " ".join(

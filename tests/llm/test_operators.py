@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from modengine.llm import chat_tree, common, license_scan, line_dedup, mixing, packing, quality_classifier, quality_rules
 from modengine.llm import queries, sharding, simhash_dedup, topk
 
+from .conftest import DATA
+
 TOKENIZER, RANKS = queries.tokenizer_file("byte_bpe_50k.json"), queries.tokenizer_file("byte_bpe_50k.tiktoken")
 
 
@@ -132,6 +134,33 @@ def test_quality_rules_edges(edges, nothing):
     assert got[10, 16]["kept"] and quality_rules.apply_rules(nothing).count() == 0
 
 
+def test_fences_follow_their_group(spark):
+    """Sources that write differently are judged by their own habits."""
+    short, long = "ab cd ef gh", "extraordinarily incomprehensible circumlocutions notwithstanding"
+    rows = [(i, " ".join(f"{w}{i % 7}" for w in (short if s == "brief" else long).split() * 4), "en", s) for s in ("brief", "wordy") for i in range(150)]
+    rows += [(900, " ".join(f"{w}9" for w in long.split() * 4), "en", "brief"), (901, " ".join(f"{w}9" for w in short.split() * 4), "en", "wordy")]
+    df = spark.createDataFrame([(n, t.replace(" ", f" x{n} ", 1), a, s) for n, (_, t, a, s) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(df, repeat_share=100).collect()}
+    assert sorted(d for d, r in got.items() if "word_length" in r["failed"]) == [300, 301]
+
+
+def test_the_sketches_decide(spark):
+    """On the given tables groups have different fences, and verdicts differ from
+    those of any one set of cutoffs."""
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/documents.parquet")
+    rows = quality_rules.counts(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    sql = {n: e for m in quality_rules.MEASURES for n, e in ((m.name, m.value), (f"{m.name}_unit", m.unit))}
+    measured = common.written(rows.withColumns({n: F.when(F.col("n_words") > 0, F.expr(f"cast({e} as bigint)")) for n, e in sql.items()}))
+    fences = quality_rules.fences(measured, quality_rules.MEASURES)
+    low, high = (fences.select(c).distinct().count() for c in ("low_word_length", "high_word_length"))
+    assert low >= 3 and high >= 3 and fences.select("high_repeat_words").distinct().count() >= 3
+    one = fences.agg(F.median("low_word_length").alias("l"), F.median("high_word_length").alias("h")).first()
+    joined = measured.filter(~F.col("base_failed")).join(fences, ["lang", "source"])
+    own = ~F.col("word_length").between(F.col("low_word_length"), F.col("high_word_length"))
+    assert joined.filter(own != ~F.col("word_length").between(one["l"], one["h"])).count() > 20
+
+
 def test_bins(spark):
     values = [0, 1, 63, 64, 65, 127, 128, 130, 10 ** 9]
     rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules.bin_of(F.col("v")).alias("b")).collect()
@@ -168,6 +197,15 @@ def test_mixing_edges(edges, nothing):
     assert mixing.mix(nothing, F.lit("d")).count() == 0
 
 
+def test_repeated_rows_keep_to_the_budget(spark):
+    """One row six times, four tokens each, for a budget of eight."""
+    df = spark.createDataFrame([(1, "a b c", "en", "s")] * 6, "doc_id long, text string, lang string, source string")
+    assert mixing.mix(df, F.lit("d"), total=8).count() == mixing.mixed_documents(df, F.lit("d"), total=8).count() == 2
+    rows = spark.createDataFrame([(i % 30, f"t {i % 30}", "en", "s") for i in range(45)], df.schema)
+    for total in (30, 100, 200):
+        assert mixing.mix(rows, F.lit("d"), total=total).count() == mixing.mixed_documents(rows, F.lit("d"), total=total).count()
+
+
 def test_budgets(spark):
     leaves = [("a", "x", "1", 100), ("a", "x", "2", 1000), ("a", "y", "3", 500), ("b", "x", "4", 5000)]
     df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
@@ -229,6 +267,24 @@ def test_packing_edges(edges, nothing):
     assert packing.pack(nothing, TOKENIZER, RANKS).count() == 0
 
 
+def test_open_windows_are_bounded(spark):
+    """Pieces of three quarters of a window leave it open; beyond the bound they are cut."""
+    text = " ".join(["word"] * 47)
+    docs = spark.range(400).selectExpr("id as doc_id", f"'{text}' as text").coalesce(1)
+    rows = packing.pack(docs, TOKENIZER, RANKS, size=64, open_windows=20).collect()
+    fill, pieces = Counter(), defaultdict(list)
+    for r in rows:
+        fill[r["sequence_id"]] += r["length"]
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+    assert all(sorted(p)[-1][0] + sorted(p)[-1][1] == 48 == sum(n for _, n in p) for p in pieces.values()) and len(pieces) == 400
+    short = [n for n in fill.values() if n < 64]
+    assert max(fill.values()) == 64 and 0 < len(short) <= 400 // 20
+    levels = packing.SumOfSquares(64)
+    for n in range(30):
+        levels.place((n, 0, 48))
+    assert levels.n_open == levels.counts[1:64].sum() == 30
+
+
 def test_sum_of_squares_choice():
     """Against trying every level."""
     rng, levels = random.Random(4), packing.SumOfSquares(20)
