@@ -17,10 +17,11 @@ Finding those that collide so often does not need all postings:
 A list of m classes is not expanded into its pairs. First every list compares its
 leader, the member with the most shared values, with all others; members that come
 to one component need no further comparison. Where a list still holds several
-components, classes with more than a fifth of shingles of their own are set
-aside, as they can link to nothing, and growing shares of the members
-(4 / m, 16 / m, … up to all) meet the rest of their list across components. So
-every pair that could join two components is compared in the end, on full sets.
+components, about four more members and then all others meet the rest of their
+list across components. So every pair that could join two components is compared
+in the end, on full sets, unless sizes and bitmaps of the sets show that it can't
+be similar: a bit that only one of two sets has stands for a shingle that only
+this one has.
 
 The sets decide: a link has |intersection| / |union| of at least ``percent``. A pair
 at exactly 0.8 collides in fewer than 32 of 64 coordinates with a probability of
@@ -38,7 +39,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, written
 
-LOW = (1 << 32) - 1
+BITMAP = 16  # long integers
+FEW_BODIES = 500_000  # hashes of eight bytes that are broadcast
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -76,19 +78,26 @@ class Shingles:
 
 
 def signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """Per coordinate the least 32-bit value, with the coordinate's number above it."""
+    """Per coordinate the least 32-bit value."""
     least = np.full(len(multipliers), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 2048):
         least = np.minimum(least, (hashes[at:at + 2048, None] * multipliers).min(axis=0))
-    return (np.arange(len(multipliers), dtype=np.int64) << 32) | (least >> np.uint64(32)).astype(np.int64)
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The set folded to ``64 * BITMAP`` bits."""
+    bits = np.zeros(64 * BITMAP, dtype=np.uint8)
+    bits[(hashes >> np.uint64(7)) % np.uint64(len(bits))] = 1
+    return np.packbits(bits).view(np.int64)
 
 
 def signed_documents(docs: DataFrame, id_col: str, text_col: str, words: int, coordinates: int) -> DataFrame:
-    """(id, n, class, signature, hashes) per row; class names the set by 128 bits and
-    is null for a text without words."""
+    """(id, body, n, class, signature) per row; body is a hash of the text, class
+    names the set by 128 bits and is null for a text without words."""
     multipliers = np.random.default_rng(11).integers(0, 1 << 63, coordinates).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
-    @F.pandas_udf("n long, class binary, signature array<long>, hashes array<long>")
+    @F.pandas_udf("n long, class binary, signature array<int>")
     def signed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(words)
         for part in parts:
@@ -96,18 +105,44 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str, words: int, co
             for text in part:
                 found = shingles(text)
                 if len(found):
-                    rows.append((len(found), xxhash.xxh128_digest(found.tobytes()), signature(found, multipliers), found.view(np.int64)))
+                    rows.append((len(found), xxhash.xxh128_digest(found.tobytes()), signature(found, multipliers)))
                 else:
-                    rows.append((0, None, None, None))
-            yield pd.DataFrame(rows, columns=["n", "class", "signature", "hashes"])
+                    rows.append((0, None, None))
+            yield pd.DataFrame(rows, columns=["n", "class", "signature"])
+
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body"), signed(text).alias("s")).select("id", "body", "s.*")
 
-    return docs.select(F.col(id_col).alias("id"), signed(F.col(text_col)).alias("s")).select("id", "s.*")
+
+def full_sets(docs: DataFrame, text_col: str, own: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """(class, hashes, signature, bits) of the classes in ``needed``; the shingles are
+    cut again from one text of each, and only these texts are moved."""
+    @F.pandas_udf("class binary, hashes array<long>, bits array<long>")
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles(words)
+        for part in parts:
+            sets = [shingles(text) for text in part]
+            yield pd.DataFrame({
+                "class": [xxhash.xxh128_digest(x.tobytes()) for x in sets], "hashes": [x.view(np.int64) for x in sets],
+                "bits": [bitmap(x) for x in sets],
+            })
+
+    # Texts of equal hash give equal sets or, if ever, sets of classes of their own.
+    kept = written(own.join(needed, "class", "left_semi").groupBy("class").agg(F.min("body").alias("body"), F.first("signature").alias("signature")))
+    bodies = written(kept.select("body").distinct())
+    # Broadcast while that takes a few megabytes; beyond it the texts meet their hashes in a shuffle.
+    few = F.broadcast(bodies) if bodies.count() <= FEW_BODIES else bodies
+    texts = docs.select(F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text")).join(few, "body", "left_semi")
+    one = texts.groupBy("body").agg(F.first("text").alias("text"))
+    sets = one.select(found("text").alias("s")).select("s.*").groupBy("class").agg(F.first("hashes").alias("hashes"), F.first("bits").alias("bits"))
+    return sets.join(kept.select("class", "signature"), "class")
 
 
 def postings(classes: DataFrame, matches: int) -> DataFrame:
     """(key, class, n, shared): the prefix of every class's values that others have
     as well, rarest first; ``shared`` is how many such values it has."""
-    rows = classes.select("class", F.explode("signature").alias("key"))
+    rows = classes.select("class", F.posexplode("signature").alias("at", "value"))
+    rows = rows.select("class", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")).alias("key"))
     # Most values are unique; written, the others are small and the join may be split.
     often = written(rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"))
     held = rows.join(often, "key").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
@@ -120,86 +155,81 @@ def share_of(name: str) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(1 << 52)) / float(1 << 52)
 
 
-def near_enough(left: Column, right: Column, percent: int) -> Column:
-    """Whether sets of these sizes can be that similar."""
-    return F.least(left, right) * 100 >= F.greatest(left, right) * percent
+def may_link(percent: int) -> Column:
+    """Whether the sets a and b can be that similar, by their sizes (n_a, n_b) and
+    bitmaps (bits_0_a, …)."""
+    only = lambda x, y: sum((F.bit_count(F.col(f"bits_{i}_{x}").bitwiseAND(F.bitwise_not(f"bits_{i}_{y}"))) for i in range(BITMAP)), F.lit(0))
+    enough = lambda most: most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent
+    sizes = F.least(F.col("n_a"), F.col("n_b")) * 100 >= F.greatest(F.col("n_a"), F.col("n_b")) * percent
+    return sizes & enough(F.col("n_a") - only("a", "b")) & enough(F.col("n_b") - only("b", "a"))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b) with enough collisions and similar full sets."""
-    def both(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    def both(rows: DataFrame, column: str) -> DataFrame:
         for side in ("b", "a"):
-            rows = rows.join(table.select(F.col("class").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+            rows = rows.join(sets.select(F.col("class").alias(side), F.col(column).alias(f"{column}_{side}")), side)
         return rows
 
-    met = both(pairs, classes, "signature").filter(F.size(F.array_intersect("signature_a", "signature_b")) >= matches)
-    met = both(met.select("a", "b", "n_a", "n_b"), sets, "hashes")
+    alike = F.filter(F.zip_with("signature_a", "signature_b", lambda x, y: x == y), lambda x: x)
+    met = both(pairs, "signature").filter(F.size(alike) >= matches)
+    met = both(met.select("a", "b", "n_a", "n_b"), "hashes")
     common = F.size(F.array_intersect("hashes_a", "hashes_b"))
     met = met.select("a", "b", "n_a", "n_b", common.alias("common"))
     return met.filter(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
 
 
 def _open_lists(posted: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The postings with their component, of the lists that hold several."""
+    """(key, class, n, shared, root, m): the postings of the lists that hold several
+    components, with the component and the size of the list."""
     if roots is None:
         rows = posted.withColumn("root", F.col("class"))
     else:
         rows = posted.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     rows = written(rows)
     lists = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
-    lists = written(lists.filter("low <> high").select("key", "m"))
-    return rows.join(lists, "key")
-
-
-def _meet(leaders: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Different pairs of a leader and a member of its list in another component."""
-    left = leaders.select("key", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    right = members.select("key", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    met = left.join(right, "key").filter((F.col("root_a") != F.col("root_b")) & near_enough(F.col("n_a"), F.col("n_b"), percent))
+    return written(rows.join(written(lists.filter("low <> high").select("key", "m")), "key"))
+
+
+def _meet(rows: DataFrame, leads: Column, sets: DataFrame, percent: int) -> DataFrame:
+    """Different pairs (a, b, n_a, n_b) of a leader and another row of its list in
+    another component that may link."""
+    # Never null: without null checks the condition is small enough to be compiled.
+    bits = sets.select("class", *[F.coalesce(F.col("bits")[i], F.lit(0)).alias(f"bits_{i}") for i in range(BITMAP)])
+    whole = rows.select("key", "class", "n", "root", leads.alias("leads")).join(bits, "class")
+    names = ["n", "root", *bits.columns[1:]]
+    side = lambda of, x: of.select("key", F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names])
+    met = side(whole.filter("leads"), "a").join(side(whole, "b"), "key").filter((F.col("root_a") != F.col("root_b")) & may_link(percent))
     swap = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     return met.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b")).distinct()
 
 
-def _linkable(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The classes of open lists of whose shingles at least ``percent`` occur in
-    another such class: all others can link to none of them."""
-    inside = open_rows.select("class").distinct()
-    shingles = written(sets.join(inside, "class").select("class", F.size("hashes").alias("n"), F.explode("hashes").alias("h")))
-    common = written(shingles.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h"))
-    held = shingles.join(common, "h").groupBy("class").agg(F.first("n").alias("n"), F.count("*").alias("held"))
-    return held.filter(F.col("held") * 100 >= F.col("n") * percent).select("class")
-
-
-def class_links(classes: DataFrame, sets: DataFrame, posted: DataFrame, matches: int, percent: int) -> DataFrame | None:
+def class_links(sets: DataFrame, posted: DataFrame, matches: int, percent: int) -> DataFrame | None:
     """(node, root): the components of the classes that have a link; None without links."""
-    spark = classes.sparkSession
     links, roots = None, None
 
-    def grown(pairs: DataFrame) -> None:
+    def compare(rows: DataFrame, leads: Column) -> None:
         nonlocal links, roots
-        found = written(confirmed(written(pairs), classes, sets, matches, percent))
-        if found.isEmpty():
+        pairs = written(_meet(rows, leads, sets, percent))
+        if pairs.isEmpty():
             return
-        links = found if links is None else links.unionByName(found)
-        roots = written(components(spark, links))
+        found = written(confirmed(pairs, sets, matches, percent))
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            roots = written(components(sets.sparkSession, links))
 
     rows = _open_lists(posted, None)
-    chosen = F.struct((-F.col("shared")).alias("order"), share_of("class").alias("share"), F.col("class"))
-    heads = written(rows.groupBy("key").agg(F.min(chosen).alias("head")).select("key", F.col("head.class").alias("head")))
-    leaders = rows.join(heads, "key").filter("class = head")
-    grown(_meet(leaders, rows, percent))
-
-    rows = _open_lists(posted, roots)
-    linkable = written(_linkable(rows, sets, percent))
-    posted = written(posted.join(linkable, "class", "left_semi"))
-    done, now = 0, 4  # of m members those with a share below now / m are leaders, below done / m were
-    while True:
-        rows = written(_open_lists(posted, roots).withColumn("at", share_of("class") * F.col("m")).filter(F.col("m") > done).filter(F.col("at") >= done))
-        if rows.isEmpty():
-            return roots
-        grown(_meet(rows.filter(F.col("at") < now), rows, percent))
-        done, now = now, now * 4
+    order = F.struct((-F.col("shared")).alias("order"), share_of("class").alias("share"), F.col("class"))
+    heads = written(rows.groupBy("key").agg(F.min(order).alias("head")).select("key", F.col("head.class").alias("head")))
+    compare(rows.join(heads, "key"), F.col("class") == F.col("head"))
+    at = share_of("class") * F.col("m")  # of m members, those below 4 lead first, then all others
+    rows = _open_lists(rows.drop("root", "m"), roots)
+    if not rows.isEmpty():
+        compare(rows, at < 4)
+        rows = _open_lists(rows.drop("root", "m"), roots)
+        compare(rows.filter(at >= 4), F.lit(True))
+    return roots
 
 
 def minhash_groups(
@@ -221,8 +251,8 @@ def minhash_groups(
     classes = written(own.groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature")))
     posted = written(postings(classes, matches))
     needed = posted.select("class").distinct()
-    sets = written(own.select("class", "hashes").join(needed, "class", "left_semi").groupBy("class").agg(F.first("hashes").alias("hashes")))
-    roots = class_links(classes, sets, posted, matches, percent)
+    sets = written(full_sets(docs, text_col, own, written(needed), words))
+    roots = class_links(sets, posted, matches, percent)
     named = own.select("id", "n", "class")
     if roots is not None:
         named = named.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")
