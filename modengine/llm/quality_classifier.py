@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vector, Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from .common import free_names, written
@@ -151,15 +151,12 @@ def fit_view(rows: DataFrame, view: str, trust: float = 0.3, penalty: float = 1e
     (``told``) weighs ``trust``."""
     width = VIEWS[view]
 
-    @F.pandas_udf("array<double>")
-    def dense(parts: pd.Series) -> pd.Series:
-        out = np.zeros((len(parts), width))
-        for i, raw in enumerate(parts):
-            at, values = unpacked(raw)
-            out[i, at] = values
-        return pd.Series(list(out))
+    @F.udf(VectorUDT())
+    def sparse(raw: bytes) -> Vector:  # a bounded number of rows; Arrow has no sparse vectors
+        at, values = unpacked(bytes(raw))
+        return Vectors.sparse(width, at.astype(np.int32), values.astype(np.float64))
 
-    table = rows.select(array_to_vector(dense(view)).alias("x"), F.col("y").cast("double").alias("y"), F.when(F.col("told"), trust).otherwise(1.0).alias("w"))
+    table = rows.select(sparse(view).alias("x"), F.col("y").cast("double").alias("y"), F.when(F.col("told"), trust).otherwise(1.0).alias("w"))
     model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=penalty, maxIter=steps).fit(table)
     return Logistic(model.coefficients.toArray().astype(np.float32), float(np.clip(model.intercept, -30, 30)))
 
@@ -182,11 +179,11 @@ def view_logits(rows: DataFrame, views: dict[str, Logistic]) -> DataFrame:
     return rows.withColumn("logit", logits("content", "meta")).drop("content", "meta")
 
 
-def co_train(known: DataFrame, pool: DataFrame, rounds: int = 2, sure: float = 0.95, per_round: int = 1000) -> dict:
+def co_train(known: DataFrame, table: DataFrame, told: DataFrame, rounds: int = 2, sure: float = 0.95, per_round: int = 1000) -> dict:
     """Both views, their calibrations and the combination. ``known`` has judged rows
     (id, y, held, content, meta); those with ``held`` are kept for calibration. In
-    every round each view gives the other rows of ``pool`` (id, content, meta), up to
-    ``per_round`` and a quarter of the judged ones: its surest, those beyond ``sure`` by
+    every round each view gives the other rows of ``table`` (id, content, meta) that
+    nobody judged (``told`` has the ids of the others), up to ``per_round`` and a quarter of the judged ones: its surest, those beyond ``sure`` by
     its calibration, each class in its share of the judged rows."""
     seen = known.filter(~F.col("held"))
     counts = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -209,14 +206,14 @@ def co_train(known: DataFrame, pool: DataFrame, rounds: int = 2, sure: float = 0
     for _ in range(rounds):
         # A view is as sure as its calibration on rows it has not seen allows.
         scaled = calibrations(known, views)[0]
-        scored = view_logits(pool, views).select("id", F.struct(*[
+        scored = view_logits(table, views).select("id", F.struct(*[
             (F.col(f"logit.{v}") * float(m.weights[0]) + m.bias).alias(v) for v, m in scaled.items()
         ]).alias("logit"))
-        scored = written(scored)
+        scored = written(scored.join(told.select("id"), "id", "left_anti"))
         changed = False
         for view in VIEWS:
-            told = other[view]
-            rows = scored if given[told] is None else scored.join(given[told].select("id"), "id", "left_anti")
+            taught = other[view]
+            rows = scored if given[taught] is None else scored.join(given[taught].select("id"), "id", "left_anti")
             # The rarer class says how many there are; the other follows in its share.
             parts, most = [], min(per_round, total // 4)
             for y, part in sorted(share.items(), key=lambda x: x[1]):
@@ -225,9 +222,10 @@ def co_train(known: DataFrame, pool: DataFrame, rounds: int = 2, sure: float = 0
                 most = min(most, round(surest.count() / part))
                 parts.append(surest)
             picked = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-            fresh = written(pool.join(written(picked.dropDuplicates(["id"])), "id"))  # rows of the other view's training table
+            # At most per_round ids: the features stay where they are.
+            fresh = written(table.join(F.broadcast(written(picked.dropDuplicates(["id"]))), "id"))
             changed = changed or not fresh.isEmpty()
-            given[told] = fresh if given[told] is None else given[told].unionByName(fresh)
+            given[taught] = fresh if given[taught] is None else given[taught].unionByName(fresh)
         if not changed:
             break
         views = both()
@@ -254,18 +252,20 @@ def learn(
     """The co-trained model, or None where the judged documents lack a class."""
     told = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     told = written(told)
+    # Rows that repeat an id are one judged document, the first in the order of the features.
     table = written(features(docs, id_col, text_col, lang_col, source_col))
     key = F.col("id").cast("string")
-    # Rows that repeat an id are one judged document, the first of them in the order of their features.
-    here = table.join(told, "id").groupBy("id", "y").agg(F.min(F.struct("content", "meta")).alias("v")).select("id", "y", "v.*")
-    known = written(here.withColumn("held", F.crc32(key) % 5 == 0).orderBy(F.xxhash64(key, F.lit(seed)), "id").limit(judged))
+    wanted = told.join(table.select("id"), "id", "left_semi").orderBy(F.xxhash64(key, F.lit(seed)), "id").limit(judged)
+    here = table.join(F.broadcast(written(wanted)), "id")  # at most ``judged`` ids
+    here = here.groupBy("id", "y").agg(F.min(F.struct("content", "meta")).alias("v")).select("id", "y", "v.*")
+    known = written(here.withColumn("held", F.crc32(key) % 5 == 0))
     classes = known.groupBy("held").agg(F.countDistinct("y").alias("n")).collect()
     n = {r["held"]: r["n"] for r in classes}
     if n.get(False, 0) < 2:
         if known.select("y").distinct().count() < 2:
             return None
         known = known.withColumn("held", F.lit(False))
-    return co_train(known, table.join(told.select("id"), "id", "left_anti"), rounds, per_round=per_round)
+    return co_train(known, table, told, rounds, per_round=per_round)
 
 
 def score_documents(
