@@ -4,19 +4,22 @@ A fingerprint is the bitwise majority over the XXH64 hashes of all word shingles
 of the whole text. Two fingerprints link when at most ``max_bits`` bits differ;
 components of links are the groups.
 
-Search. Whole 64-bit distances of unrelated texts crowd around 32, where a
-vantage point prunes nothing. So the search is a forest of vantage-point trees,
-each in the Hamming distance over ``2`` of ``max_bits + 2`` bit blocks: two
-fingerprints within ``max_bits`` agree on at least two blocks, so in at least
-one tree their distance is 0 and the triangle bound leaves just one shard, the
-ball of radius 0 around its own vantage pattern. A shard that is still large is
-divided once more, now in the whole 64-bit distance: members fall into shells
-around the shard's vantage point, shells wider than ``max_bits``, so only
-neighbouring shells can hold a pair; the overlap goes to both, and shells are cut
-into blocks of bounded size that meet in every pair of blocks. Inside a task the
-members stand sorted by distance to a vantage point and only those whose
-distances differ by ``max_bits`` or less are compared. A task returns a spanning
-forest of the links it found, never all pairs; the components are unchanged.
+Search. Whole 64-bit distances of unrelated texts crowd around 32, so shells that
+overlap by ``max_bits`` would hold nearly everything. The fingerprints therefore
+stand in ``max_bits // 2 + 1`` trees, each measuring the Hamming distance over one
+block of bits: two fingerprints within ``max_bits`` differ in at most ``slack`` (0 or
+1) bits of at least one block. A node that holds more than ``shard`` fingerprints
+takes some of its members as vantage points and splits at the median distance from
+each: near holds the distances up to the median plus ``slack``, far those above the
+median. By the triangle inequality a pair within ``slack`` stands in one of the two
+together; only the rows on the boundary go to both. All nodes of a level are split
+by the same Spark jobs, whose aggregates are combined before the shuffle, and every
+level is written. A node that its vantage points do not divide (one pattern of the
+block, many fingerprints) is cut into blocks that meet in every pair of blocks.
+Inside a task the members of a shard stand sorted by distance to a vantage point,
+and only those whose distances differ by ``max_bits`` or less are compared. A task
+returns a spanning forest of the links it found, never all pairs; the components
+are unchanged.
 
 Exact: no link is lost, and every pair is checked with all 64 bits.
 """
@@ -24,12 +27,12 @@ Exact: no link is lost, and every pair is checked with all 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, free_names, written
 
@@ -71,8 +74,8 @@ def fingerprint_udf(words: int):
 
 
 def blocks_of(max_bits: int) -> list[int]:
-    """Bit masks of ``max_bits + 2`` blocks over the 64 bits, sizes at most one apart."""
-    n = max_bits + 2
+    """Bit masks of ``max_bits // 2 + 1`` blocks over the 64 bits, sizes at most one apart."""
+    n = max_bits // 2 + 1
     cuts = [round(i * 64 / n) for i in range(n + 1)]
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
 
@@ -109,45 +112,62 @@ def local_links(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 4, shard: int = 2048) -> DataFrame:
+def vantage_shards(fps: DataFrame, max_bits: int = 4, shard: int = 4096, points: int = 3) -> DataFrame:
+    """(tree, node, n, fp): the leaves of the trees over the distinct fingerprints
+    ``fp`` and their sizes. Any two within ``max_bits`` share a leaf. Leaves hold at
+    most ``shard`` fingerprints, but for those that ``points`` vantage points left at
+    more than nine tenths of their parent."""
+    masks, keys = blocks_of(max_bits), ["tree", "node"]
+    slack = max_bits // len(masks)
+    trees = [F.struct(F.lit(t).alias("tree"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(masks)]
+    rows = fps.select("fp", F.inline(F.array(*trees)), F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"))
+    leaves = []
+    while True:
+        rows = written(rows)
+        sizes = written(rows.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.max("parent").alias("parent"),
+            *[F.min_by("fp", F.xxhash64("fp", F.lit(p))).alias(f"v{p}") for p in range(points)],
+        ))
+        ends = (F.col("n") <= shard) | F.coalesce(F.col("n") * 10 > F.col("parent") * 9, F.lit(False))
+        rows = rows.drop("parent")
+        leaves.append(rows.join(sizes.filter(ends).select(*keys, "n"), keys).select(*keys, "n", "fp"))
+        large = sizes.filter(~ends).drop("parent")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, leaves)
+        far = {f"d{p}": F.bit_count((F.col("fp").bitwiseXOR(F.col(f"v{p}"))).bitwiseAND(F.col("mask"))) for p in range(points)}
+        # The median, but never so far out that near is the whole node.
+        cuts = written(rows.join(large, keys).withColumns(far).groupBy(*keys, "n", *[f"v{p}" for p in range(points)]).agg(*[
+            F.least(F.percentile_approx(f"d{p}", 0.5), F.max(f"d{p}") - slack - 1).alias(f"m{p}") for p in range(points)
+        ]))
+        inside = rows.join(cuts, keys).withColumns(far)
+
+        def belongs(child: int) -> Column:
+            sides = [F.col(f"d{p}") > F.col(f"m{p}") if child >> p & 1 else F.col(f"d{p}") <= F.col(f"m{p}") + slack for p in range(points)]
+            return F.when(reduce(lambda a, b: a & b, sides), F.lit(child))
+
+        children = F.array_compact(F.array(*[belongs(c) for c in range(1 << points)]))
+        rows = inside.select("fp", "tree", "mask", "node", F.col("n").alias("parent"), F.explode(children).alias("child"))
+        rows = rows.withColumn("node", F.xxhash64("node", "child")).drop("child")
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = 4, shard: int = 4096) -> DataFrame:
     """(a, b): links among the distinct fingerprints ``fp`` (long) that connect
     exactly the components of all pairs within ``max_bits`` bits."""
-    masks = blocks_of(max_bits)
-    trees = [
-        F.struct(F.lit(t).alias("tree"), F.col("fp").bitwiseAND(F.lit(_signed(masks[i] | masks[j]))).alias("ball"))
-        for t, (i, j) in enumerate(combinations(range(len(masks)), 2))
-    ]
-    placed = fps.select("fp", F.inline(F.array(*trees)))
-    keys = ["tree", "ball"]
-    balls = written(placed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("fp").alias("vantage")).filter("n > 1"))
-    inside = placed.join(balls, keys)
-    small = inside.filter(F.col("n") <= shard).select(*keys, F.lit("").alias("part"), "fp")
-
-    # Large shards: shells around the vantage point, each cut into blocks.
-    width = max_bits + 1
-    large = inside.filter(F.col("n") > shard).withColumns({
-        "d": F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))),
-        "k": F.ceil(F.col("n") / shard).cast("int"),
-    })
-    large = large.withColumns({
-        "shell": F.floor(F.col("d") / width).cast("int"), "block": F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"),
-    })
-    own, nxt = F.col("shell"), F.col("shell") + 1
-    # A pair is settled in the shell of its nearer member or the next one; a row
-    # within max_bits of the next shell goes there as well.
-    homes = F.when(F.col("d") + max_bits >= nxt * width, F.array(own, nxt)).otherwise(F.array(own))
-    large = large.withColumn("at", F.explode(homes))
+    keys = ["tree", "node"]
+    leaves = vantage_shards(fps, max_bits, shard).filter("n > 1")
+    small = leaves.filter(F.col("n") <= shard).select(*keys, F.lit("").alias("part"), "fp")
+    # Leaves that no vantage point divides: blocks, each with each.
+    large = leaves.filter(F.col("n") > shard).withColumn("k", F.ceil(F.col("n") / shard).cast("int"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("k") - 1),
-        lambda other: F.concat_ws(".", F.col("at"), F.least(other, F.col("block")), F.greatest(other, F.col("block"))),
+        lambda other: F.concat_ws(".", F.least(other, F.col("block")), F.greatest(other, F.col("block"))),
     )
-    large = large.select(*keys, F.explode(meets).alias("part"), "fp")
-
-    return _forests(small, large, max_bits)
+    return _forests(small, large.select(*keys, F.explode(meets).alias("part"), "fp"), max_bits)
 
 
 def _forests(small: DataFrame, large: DataFrame, max_bits: int) -> DataFrame:
-    arrays = small.unionByName(large).groupBy("tree", "ball", "part").agg(F.collect_list("fp").alias("fps"))
+    arrays = small.unionByName(large).groupBy("tree", "node", "part").agg(F.collect_list("fp").alias("fps"))
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def forests(lists: pd.Series) -> pd.Series:

@@ -96,9 +96,9 @@ def test_simhash_edges(edges, nothing):
     assert simhash_dedup.simhash_groups(nothing).count() == 0 and simhash_dedup.keep_one(nothing).count() == 0
 
 
-@pytest.mark.parametrize("shard", [2048, 16])
+@pytest.mark.parametrize("shard", [4096, 64, 16])
 def test_links_are_exact(spark, shard):
-    """Clusters of fingerprints, so that shards of 16 are divided by shells."""
+    """Clusters of fingerprints, so that nodes of 16 or 64 are divided, some of them in vain."""
     rng = random.Random(2)
     values = set()
     for _ in range(3):
@@ -123,6 +123,27 @@ def test_links_are_exact(spark, shard):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_vantage_points_divide(spark):
+    """Unrelated fingerprints: leaves stay below the bound, and close pairs share one."""
+    rng = random.Random(5)
+    values = [rng.getrandbits(64) for _ in range(6000)]
+    pairs = []
+    for v in values[:500]:
+        w = v
+        for b in rng.sample(range(64), 4):
+            w ^= 1 << b
+        pairs.append((v, w))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(v),) for v in {*values, *[w for _, w in pairs]}], "fp long")
+    homes, sizes = defaultdict(set), Counter()
+    for r in simhash_dedup.vantage_shards(df, 4, 512).collect():
+        homes[r["fp"]].add((r["tree"], r["node"]))
+        sizes[r["tree"], r["node"]] += 1
+    assert max(sizes.values()) <= 512 and len(sizes) > 3 * 13
+    assert all(homes[signed(v)] & homes[signed(w)] for v, w in pairs)
+    assert sum(sizes.values()) < 20 * len(values)
+
+
 # -- 3 ----------------------------------------------------------------------------------
 
 def test_quality_rules_edges(edges, nothing):
