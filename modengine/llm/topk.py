@@ -69,9 +69,10 @@ def bound(c, s, x, r):
     return exact + 1e-6 * (1 + np.abs(exact))
 
 
-def search(q_ids, queries, worst, ids, data, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, vector, score): the k best of this block for every query, as far as
-    they reach the query's ``worst`` score; ties go to the smaller vector id."""
+def search(q_ids, queries, worst, ids, data, copies, k: int) -> Iterator[tuple[int, int, int]]:
+    """(place of the query, vector, score): the k best rows of this block for every
+    query, as far as they reach the query's ``worst`` score; ties go to the smaller
+    vector id. A vector stands for ``copies`` rows; one of them may be the query."""
     q_level, d_level = Level(queries), Level(data)
     bounds = bound(q_level.centre, q_level.radius, d_level.centre, d_level.radius)
     exact_ints = np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * max(1, data.shape[1]) >= 2 ** 53
@@ -88,26 +89,30 @@ def search(q_ids, queries, worst, ids, data, k: int) -> Iterator[tuple[int, int,
             else:
                 scores = queries[members] @ data[rows].T
             for i, q in enumerate(members):
-                hits = np.flatnonzero((scores[i] >= floor[i]) & (ids[rows] != q_ids[q]))
+                hits = np.flatnonzero(scores[i] >= floor[i])
                 if len(hits):
-                    found = best[i] + [(-int(scores[i][j]), int(ids[rows[j]])) for j in hits]
+                    found = best[i]
+                    for j in hits:
+                        at = rows[j]
+                        own = ids[at] == q_ids[q] and np.array_equal(data[at], queries[q])
+                        found = found + [(-int(scores[i][j]), int(ids[at]))] * min(k, int(copies[at]) - own)
                     best[i] = sorted(found)[:k]
                     if len(best[i]) == k:
                         floor[i] = max(floor[i], float(-best[i][-1][0]))
         for i, q in enumerate(members):
             for score, vec in best[i]:
-                yield int(q_ids[q]), vec, -score
+                yield int(q), vec, -score
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) of every component as double; vectors that are
-    null or hold null or non-finite components, and null ids, take no part. Of
-    rows that share an id the smallest vector counts."""
+    """(id, v, copies): floor(scale * x) of every component as double; vectors that
+    are null or hold null or non-finite components, and null ids, take no part.
+    Rows that share an id and a vector are counted; other rows of one id stay apart."""
     x = F.transform(vec_col, lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     fit = vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.coalesce(bad, F.lit(True)))
     whole = F.transform(vec_col, lambda c: F.floor(c.cast("double") * scale).cast("long"))
-    return fit.select(F.col(id_col).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return fit.select(F.col(id_col).cast("long").alias("id"), whole.alias("v")).groupBy("id", "v").agg(F.count("*").alias("copies"))
 
 
 def top_k(
@@ -118,7 +123,8 @@ def top_k(
     ``every`` its ``k`` best others (all, if fewer) by inner product of
     floor(``scale`` * component); ties go to the smaller id.
 
-    Only vectors of equal length meet. At most ``centres`` centres are chosen on at
+    Every row is a candidate and, by its id, a query; a row is never its own answer,
+    but other rows of its id are. Only vectors of equal length meet. At most ``centres`` centres are chosen on at
     most ``sample`` vectors; every vector is indexed and searched, so the sample
     shapes the tree and never the result. ``block`` bounds the rows of a task's
     side. An empty table gives no rows. Scores are exact below 2**63.
@@ -142,21 +148,21 @@ def top_k(
                 out[at] = nearest(np.array([parts.iloc[i] for i in at], dtype=np.float64), shared.value[n])
         return pd.Series(out)
 
-    placed = written(rows.select("id", "v", F.size("v").alias("dim"), home("v").alias("ball")))
+    placed = written(rows.select("id", "v", "copies", F.size("v").alias("dim"), home("v").alias("ball")))
     keys = ["dim", "ball"]
     sizes = placed.groupBy(*keys).agg(
         F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("id") % every == 0) / block).cast("int").alias("q_blocks"),
     )
     cut = placed.join(sizes, keys)
-    data = cut.select(*keys, "id", "v", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("part"))
-    queries = cut.filter(F.col("id") % every == 0).select(*keys, "id", "v", F.pmod(F.xxhash64("id"), "q_blocks").cast("int").alias("q_part"))
-    own = queries.select(*keys, F.col("ball").alias("q_ball"), "q_part", "id", "v", F.lit(None).cast("long").alias("worst"))
+    data = cut.select(*keys, "id", "v", "copies", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("part"))
+    queries = cut.filter(F.col("id") % every == 0).select(*keys, "id", "v", F.xxhash64("v").alias("vh"), "copies", F.pmod(F.xxhash64("id"), "q_blocks").cast("int").alias("q_part"))
+    own = queries.select(*keys, F.col("ball").alias("q_ball"), "q_part", "id", "v", "vh", "copies", F.lit(None).cast("long").alias("worst"))
     first = written(_meet(spark, data, own, sizes, k))
 
     # Worst kth score, centre and radius of every query group and data node; at
     # most ``centres`` of each for every length, whatever the number of rows.
-    kth = first.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("worst"))
-    judged = written(queries.join(kth, queries["id"] == kth["query"], "left").select(*keys, "q_part", "id", "v", "worst"))
+    kth = first.groupBy("query", "qh").agg(F.when(F.count("*") >= k, F.min("score")).alias("worst"))
+    judged = written(queries.join(kth, (queries["id"] == kth["query"]) & (queries["vh"] == kth["qh"]), "left").select(*keys, "q_part", "id", "v", "vh", "copies", "worst"))
     nodes = _nodes(data, shared).select("dim", F.col("ball"), F.col("radius"))
     groups = _nodes(judged, shared).join(
         judged.groupBy(*keys).agg(F.when(F.count("worst") == F.count("*"), F.min("worst")).alias("worst")), keys,
@@ -175,10 +181,12 @@ def top_k(
                 pairs.append((dim, int(q_side[i]["ball"]), int(d_side[j]["ball"])))
     left = spark.createDataFrame(pairs, "dim int, q_ball int, ball int")
     others = judged.withColumnRenamed("ball", "q_ball").join(F.broadcast(left), ["dim", "q_ball"])  # at most centres**2 pairs
-    rest = _meet(spark, data, others.select(*keys, "q_ball", "q_part", "id", "v", "worst"), sizes, k)
+    rest = _meet(spark, data, others.select(*keys, "q_ball", "q_part", "id", "v", "vh", "copies", "worst"), sizes, k)
     merged = first.unionByName(rest)
-    order = Wd.partitionBy("query").orderBy(F.desc("score"), "vec")  # at most k rows from each node
+    order = Wd.partitionBy("query", "qh").orderBy(F.desc("score"), "vec")  # at most k rows from each node
     ranked = merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    # Queries that repeat id and vector get their answers each.
+    ranked = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "q_copies")))
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vec").alias("vec_id"), "score")
 
 
@@ -202,7 +210,7 @@ def _nodes(rows: DataFrame, shared) -> DataFrame:
 
 
 def _meet(spark, data: DataFrame, queries: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """(query, vec, score) of every query block and every data block of its ball."""
+    """(query, qh, q_copies, vec, score) of every query block and every data block of its ball."""
     keys = ["dim", "ball", "part", "q_ball", "q_part"]
     blocks = sizes.select("dim", "ball", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
     asked = queries.join(blocks, ["dim", "ball"])
@@ -214,9 +222,11 @@ def _meet(spark, data: DataFrame, queries: DataFrame, sizes: DataFrame, k: int)
         if len(q) and len(d):
             matrix = lambda f: np.array(f["v"].tolist(), dtype=np.float64).reshape(len(f), -1)
             worst = q["worst"].astype("float64").fillna(-np.inf).to_numpy()
-            found = list(search(q["id"].to_numpy(), matrix(q), worst, d["id"].to_numpy(), matrix(d), k))
-        return pd.DataFrame(found, columns=["query", "vec", "score"], dtype="int64")
+            found = list(search(q["id"].to_numpy(), matrix(q), worst, d["id"].to_numpy(), matrix(d), d["copies"].to_numpy(), k))
+        at, vec, score = (np.array(c, dtype=np.int64) for c in zip(*found)) if found else [np.zeros(0, dtype=np.int64)] * 3
+        about = {out: q[c].to_numpy()[at] if len(at) else at for out, c in (("query", "id"), ("qh", "vh"), ("q_copies", "copies"))}
+        return pd.DataFrame(about | {"vec": vec, "score": score})
 
     fresh = lambda f: f.select(*[F.col(c).alias(f"{c}_").alias(c) for c in f.columns])  # noqa: E731  both stem from one table
     asked, there = fresh(asked), fresh(there)
-    return asked.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(run, "query long, vec long, score long")
+    return asked.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(run, "query long, qh long, q_copies long, vec long, score long")

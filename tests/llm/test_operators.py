@@ -195,7 +195,7 @@ def test_top_k_edges(spark):
     rng = np.random.default_rng(1)
     good = {i: rng.normal(size=6).round(2).tolist() for i in range(0, 300)}
     good[50] = good[100] = good[7]  # ties
-    rows = list(good.items()) + [(7, good[7]), (1000, None), (1050, [nan] * 6), (1100, [None] * 6), (1150, [inf] * 6), (None, good[3]), (2000, [1.0, 2.0])]
+    rows = list(good.items()) + [(1000, None), (1050, [nan] * 6), (1100, [None] * 6), (1150, [inf] * 6), (None, good[3]), (2000, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = {i: np.floor(256 * np.array(v)).astype(int) for i, v in good.items()}
     want = {}
@@ -208,6 +208,37 @@ def test_top_k_edges(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_keeps_rows_that_repeat(spark):
+    """Each row is a candidate and a query of its own, whatever its id."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=5).round(2).tolist()) for i in range(1, 200)]
+    rows += [(7, [4.0] * 5), (7, [5.0] * 5), (7, [5.0] * 5), (50, [1.0] * 5), (50, [1.0] * 5), (100, [9.0, 0.0, 0.0, 0.0, 0.0])]
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    want = Counter()
+    for n, (i, v) in enumerate(whole):
+        if i % 50 == 0:
+            best = sorted((-int(v @ w), j) for m, (j, w) in enumerate(whole) if m != n)[:5]
+            want.update((i, at + 1, j, -s) for at, (s, j) in enumerate(best))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for options in ({}, {"centres": 4, "block": 30, "sample": 60}):
+        got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, **options).collect())
+        assert got == want
+
+
+def test_clustered_vectors_are_pruned():
+    """Bounds by radii prune most pairs of nodes where vectors form clusters."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 16))
+    centres *= 256 / np.linalg.norm(centres, axis=1)[:, None]
+    points = (centres[:, None] + rng.normal(size=(30, 64, 16))).reshape(-1, 16)
+    level = topk.Level(points)
+    scores = points @ points.T
+    worst = np.sort(scores, axis=1)[:, -6]
+    floors = np.array([worst[m].min() for m in level.members])
+    met = topk.bound(level.centre, level.radius, level.centre, level.radius) >= floors[:, None]
+    assert met.mean() < 0.2 and met.diagonal().all()
+
+
 # -- 5 ----------------------------------------------------------------------------------
 
 def test_mixing_edges(edges, nothing):
