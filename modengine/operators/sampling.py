@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as Wd, functions as F
 
 from ..functions import lexicon
 from ..functions.rand import det_index, hash_hex
@@ -16,15 +16,27 @@ from .ranking import ranked
 def draw_with_replacement(pool: DataFrame, keys: Sequence[str], n: int, salt: str, out: str = "draw", prefix: int = 4) -> DataFrame:
     """Exactly ``n`` rows drawn from ``pool`` with replacement, numbered in ``out``.
 
-    Rows are numbered in hash order, the draws are numbers, and an equi-join
+    A draw is a place in the hash order of the rows. First the draws are allotted
+    to hash buckets by the counts of these (``16**prefix`` rows at most); then only
+    the buckets that were hit are sorted, each on its own, and an equi-join
     fetches the rows. An empty pool gives no rows.
     """
+    keyed = pool.withColumn("_h", hash_hex(salt, *[F.col(k) for k in keys])).withColumn("_b", F.left("_h", F.lit(prefix)))
     size = pool.agg(F.count("*").alias("n")).scalar()
-    numbered = ranked(pool, hash_hex(salt, *[F.col(k) for k in keys]), keys, out="_pos", prefix=prefix)
+    before = Wd.orderBy("_b").rowsBetween(Wd.unboundedPreceding, -1)  # over the counts alone
+    counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
+    spans = counts.withColumns({"_low": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_step": F.ceil(size / 16**prefix)})
+    # A grid over the places turns the search for the bucket into an equi-join.
+    cells = F.sequence(F.floor(F.col("_low") / F.col("_step")), F.floor((F.col("_low") + F.col("_n") - 1) / F.col("_step")))
+    spans = spans.select("_b", "_low", "_n", F.explode(cells).alias("_cell"))
     draws = pool.sparkSession.range(n).select(
-        F.col("id").alias(out), det_index(F.concat_ws(":", F.lit(salt), "id"), "draw", size).alias("_pos")
-    )
-    return draws.join(numbered, "_pos").drop("_pos")
+        F.col("id").alias(out), det_index(F.concat_ws(":", F.lit(salt), "id"), "draw", size).alias("_pos"), F.ceil(size / 16**prefix).alias("_step"),
+    ).withColumn("_cell", F.floor(F.col("_pos") / F.col("_step")))
+    lands = (F.col("_pos") >= F.col("_low")) & (F.col("_pos") < F.col("_low") + F.col("_n"))
+    allotted = cut_lineage(draws.join(spans, "_cell").filter(lands).select(out, "_b", (F.col("_pos") - F.col("_low")).alias("_i")))
+    hit = keyed.join(allotted.select("_b").distinct(), "_b", "left_semi")
+    inside = hit.withColumn("_i", F.row_number().over(Wd.partitionBy("_b").orderBy("_h", *keys)) - 1)
+    return allotted.join(inside, ["_b", "_i"]).drop("_b", "_i", "_h")
 
 
 def oversample(

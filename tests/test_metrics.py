@@ -1,5 +1,6 @@
 """Metrics on small tables against brute force, and the invariants they keep."""
 
+import hashlib
 import math
 import random
 
@@ -190,6 +191,20 @@ def test_oversample_exact_and_layout_free(spark):
     assert sampling.oversample(df.filter("threat = 0"), "id", ["threat"], 5).count() == df.filter("threat = 0").count()
 
 
+def test_draws_are_places_in_hash_order(spark):
+    pool = labelled(spark, 300).select("id").cache()
+    order = [r["id"] for r in pool.orderBy(F.md5(F.concat_ws(":", F.lit("s"), F.col("id").cast("string")))).collect()]
+    seen = {}
+    for prefix in (1, 2, 4):
+        rows = sampling.draw_with_replacement(pool, ["id"], 700, "s", prefix=prefix).collect()
+        seen[prefix] = {r["draw"]: r["id"] for r in rows}
+        assert len(rows) == 700 and sorted(seen[prefix]) == list(range(700))
+    assert seen[1] == seen[2] == seen[4] and len(set(seen[1].values())) > 200
+    place = lambda d: int(int(hashlib.md5(f"s:{d}:draw".encode()).hexdigest()[:8], 16) / 2**32 * 300)
+    assert all(order[place(d)] == i for d, i in seen[4].items())
+    assert sampling.draw_with_replacement(pool.limit(0), ["id"], 10, "s").count() == 0
+
+
 def test_folds_are_even(spark):
     sizes = sampling.stratified_folds(labelled(spark), "id").groupBy("label_set", "fold").count().collect()
     by_set = {}
