@@ -1,80 +1,146 @@
 """The ten text attacks as Column functions.
 
 Random choices come from digests of the row key and not from a generator, so an
-attack is repeatable. Choices per character are one string of symbols per text,
-zipped with the characters; line feeds are left alone, as ``.`` would.
+attack is repeatable. Attacks that go character by character are array operations
+over a text's code points in one Arrow UDF: in the JVM every character would become
+an array element, at twenty times the cost. Choices per character are one string of
+symbols per text; line feeds are left alone, as ``.`` would.
 """
 
 from __future__ import annotations
 
 import string
-from collections.abc import Mapping, Sequence
+import unicodedata
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from . import lexicon
 from .rand import det_index, symbol_stream
+from .tags import contains_any
 from .text import W
-from .unicode import nfkc_chars
+from .unicode import is_ascii, of_points, points, word_points
 
+_LF = ord("\n")
 
-def _chars(c: Column) -> Column:
-    return F.split(c, "")
 
+# -- character by character, for one text ------------------------------------------------
 
-def _bits(c: Column, key, salt: str) -> Column:
-    return _chars(symbol_stream(key, salt, F.char_length(c), "01"))
+def _choices(zero: Mapping[str, str], one: Mapping[str, str]) -> np.ndarray:
+    """Images of the ASCII characters where the bit is 0, and where it is 1."""
+    return np.array([[ord(images.get(chr(i), chr(i))) for i in range(128)] for images in (zero, one)], dtype="<u4")
 
 
-def _choose(a: Column, b: Column, bits: Column) -> Column:
-    """Character by character from ``a`` where the bit is 0, else from ``b``."""
-    ones = F.zip_with(_chars(b), bits, lambda ch, bit: F.when(bit == "1", ch))
-    return F.array_join(F.zip_with(ones, _chars(a), lambda one, ch: F.coalesce(one, ch)), "")
+_LEET = _choices({a: v[0] for a, v in lexicon.LEET.items()}, {a: v[-1] for a, v in lexicon.LEET.items()})
+_CASE = _choices(
+    dict(zip(string.ascii_uppercase, string.ascii_lowercase)), dict(zip(string.ascii_lowercase, string.ascii_uppercase))
+)
 
 
-def _append(c: Column, key, salt: str, symbols: Sequence[str]) -> Column:
-    """One of five symbols after every character."""
-    drawn = symbol_stream(key, salt, F.char_length(c), symbols)
-    with_symbol = F.zip_with(
-        _chars(c), _chars(drawn), lambda ch, s: F.when(ch == "\n", ch).otherwise(F.concat(ch, s))
-    )
-    return F.array_join(with_symbol, "")
+def _chosen(images: np.ndarray, salt: str) -> Callable[[str, str | None], str]:
+    """Every ASCII character by one of its two images."""
+    def attack(t: str, key: str | None) -> str:
+        chars = points(t)
+        bits = symbol_stream(key, salt, len(chars), 2)
+        return of_points(np.where(chars < 128, images[bits, np.minimum(chars, 127)], chars))
+    return attack
+
+
+def _appended(symbols: Sequence[str], salt: str) -> Callable[[str, str | None], str]:
+    """One of the symbols after every character."""
+    table = np.array([ord(s) for s in symbols], dtype="<u4")
+
+    def attack(t: str, key: str | None) -> str:
+        chars = points(t)
+        out = np.empty((len(chars), 2), dtype="<u4")
+        out[:, 0] = chars
+        out[:, 1] = table[symbol_stream(key, salt, len(chars), len(table))] if len(table) > 1 else table[0]
+        if "\n" not in t:
+            return of_points(out)
+        kept = np.ones(out.shape, bool)
+        kept[:, 1] = chars != _LF
+        return of_points(out[kept])
+    return attack
+
+
+def _repeated(t: str, key: str | None) -> str:
+    chars = points(t)
+    times = 2 + symbol_stream(key, "char_repetition", len(chars), 2)
+    return of_points(np.repeat(chars, np.where(chars == _LF, 1, times)))
+
+
+def _swapped(t: str, key: str | None) -> str:
+    chars = points(t)
+    word, place = word_points()[chars], np.arange(len(chars))
+    outside = np.maximum.accumulate(np.where(word, -1, place)) if len(chars) else place
+    first = np.flatnonzero(word[:-1] & word[1:] & ((place - outside)[:-1] % 2 == 1))
+    out = chars.copy()
+    out[first], out[first + 1] = chars[first + 1], chars[first]
+    return of_points(out)
+
+
+class _Images(dict):
+    """NFKC of single characters, found as they are met."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = unicodedata.normalize("NFKC", chr(point))
+        return self[point]
 
 
+_NFKC = _Images()
+
+_BY_CHARACTER = {
+    "leetspeak": _chosen(_LEET, "leetspeak"), "space_injection": _appended(" ", ""), "char_repetition": _repeated,
+    "special_chars": _appended(lexicon.SPECIAL_CHARS, "special_chars"), "case_variation": _chosen(_CASE, "case_variation"),
+    "unicode": lambda t, key: t.translate(_NFKC), "emoji_injection": _appended(lexicon.EMOJI, "emoji_injection"),
+    "zero_width": _appended(lexicon.ZERO_WIDTH, ""), "character_swapping": _swapped,
+}
+
+
+@F.pandas_udf(T.StringType())
+def _rewritten(texts: pd.Series, keys: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _BY_CHARACTER[p](t, k) for t, k, p in zip(texts, keys, names)], dtype=object)
+
+
+def _by_character(c: Column, key, name: Column, only: Column | None = None) -> Column:
+    """The attack of the row's name; rows where ``only`` is false go to Python as null
+    and come back as they are, and so do ASCII texts that have no other form."""
+    sent = (name != "unicode") | ~is_ascii(c)
+    key = F.lit(None).cast("string") if key is None else (key if isinstance(key, Column) else F.lit(key)).cast("string")
+    return F.coalesce(_rewritten(F.when(sent if only is None else only & sent, c), key, name), c)
+
+
+# -- as columns ----------------------------------------------------------------------------
+
 def leetspeak(c: Column, key) -> Column:
     """Some small letters as digits or symbols, of two choices where there are two."""
-    letters = "".join(lexicon.LEET)
-    first = F.translate(c, letters, "".join(v[0] for v in lexicon.LEET.values()))
-    last = F.translate(c, letters, "".join(v[-1] for v in lexicon.LEET.values()))
-    return _choose(first, last, _bits(c, key, "leetspeak"))
+    return _by_character(c, key, F.lit("leetspeak"))
 
 
 def space_injection(c: Column, key=None) -> Column:
-    return F.regexp_replace(c, r"([^\n])", "$1 ")
+    return _by_character(c, key, F.lit("space_injection"))
 
 
 def char_repetition(c: Column, key) -> Column:
     """Every character two or three times."""
-    repeated = F.zip_with(
-        _chars(c), _bits(c, key, "char_repetition"),
-        lambda ch, bit: F.when(ch == "\n", ch).when(bit == "1", F.concat(ch, ch, ch)).otherwise(F.concat(ch, ch)),
-    )
-    return F.array_join(repeated, "")
+    return _by_character(c, key, F.lit("char_repetition"))
 
 
 def special_chars(c: Column, key) -> Column:
-    return _append(c, key, "special_chars", lexicon.SPECIAL_CHARS)
+    """One of five symbols after every character."""
+    return _by_character(c, key, F.lit("special_chars"))
 
 
 def case_variation(c: Column, key) -> Column:
     """Every ASCII letter in random case."""
-    lower, upper = string.ascii_lowercase, string.ascii_uppercase
-    return _choose(F.translate(c, upper, lower), F.translate(c, lower, upper), _bits(c, key, "case_variation"))
+    return _by_character(c, key, F.lit("case_variation"))
 
 
-def unicode_form(c: Column, key=None, only: Column | None = None) -> Column:
+def unicode_form(c: Column, key=None) -> Column:
     """NFKC of every character by itself."""
-    return nfkc_chars(c, only)
+    return _by_character(c, key, F.lit("unicode"))
 
 
 def word_substitution(c: Column, key, synonyms: Mapping[str, Sequence[str]] | None = None) -> Column:
@@ -89,21 +155,21 @@ def word_substitution(c: Column, key, synonyms: Mapping[str, Sequence[str]] | No
         return F.when(F.lower(t).isin(*table), F.element_at(mine, (pick + 1).cast("int"))).otherwise(t)
 
     pieces = F.regexp_extract_all(c, F.lit(rf"[{W}]+|[^{W}]+"), F.lit(0))
-    listed = F.lower(c).rlike("|".join(table))
+    listed = contains_any(F.lower(c), list(table))
     return F.when(listed, F.array_join(F.transform(pieces, replace), "")).otherwise(c)
 
 
 def character_swapping(c: Column, key=None) -> Column:
     """Word characters swapped in pairs, left to right."""
-    return F.regexp_replace(c, rf"([{W}])([{W}])", "$2$1")
+    return _by_character(c, key, F.lit("character_swapping"))
 
 
 def emoji_injection(c: Column, key) -> Column:
-    return _append(c, key, "emoji_injection", lexicon.EMOJI)
+    return _by_character(c, key, F.lit("emoji_injection"))
 
 
 def zero_width(c: Column, key=None) -> Column:
-    return F.regexp_replace(c, r"([^\n])", "$1" + lexicon.ZERO_WIDTH)
+    return _by_character(c, key, F.lit("zero_width"))
 
 
 ATTACKS = {
@@ -123,11 +189,10 @@ def obfuscate(c: Column, key, pattern: str) -> Column:
 def obfuscate_by(c: Column, key, pattern: Column, patterns: Sequence[str] = tuple(lexicon.PATTERNS)) -> Column:
     """The attack that a column names, row by row. Only the row's own branch is
     evaluated; the Arrow one sees null for the rows of the others."""
-    out = c
+    arrow = [name for name in patterns if name in _BY_CHARACTER]
+    mine = F.coalesce(pattern.isin(*arrow), F.lit(False))
+    out = _by_character(c, key, pattern, mine) if arrow else c
     for name in patterns:
-        if name not in ATTACKS:
-            continue
-        mine = pattern == name
-        changed = unicode_form(c, key, mine) if name == "unicode" else ATTACKS[name](c, key)
-        out = F.when(mine, changed).otherwise(out)
+        if name in ATTACKS and name not in arrow:
+            out = F.when(pattern == name, ATTACKS[name](c, key)).otherwise(out)
     return out

@@ -1,6 +1,9 @@
 """Attacks, sources, streaming and models."""
 
+import hashlib
 import json
+import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -39,6 +42,67 @@ def test_attack_shapes(spark):
     assert all(attacked(spark, p, "") == "" for p in lexicon.PATTERNS)
 
 
+ODD = ["", "a", "\n", "ab\n\nc d_e", "é\u0301x ﬁ Ａ①½", "😡tie a\U00010400\U00010401b", "one two three " * 40 + "\n"]
+
+
+def _symbols(key, salt, n, symbols):
+    share = 16 // len(symbols)
+    blocks = max(-(-n // (32 if share * len(symbols) == 16 else 28)) + (share * len(symbols) != 16), 1)
+    digits = "".join(hashlib.md5(f"{key}:{salt}:{b}".encode()).hexdigest() for b in range(1, blocks + 1))
+    image = [s for s in symbols for _ in range(share)]
+    drawn = [image[int(d, 16)] for d in digits if int(d, 16) < len(image)]
+    return (drawn + [symbols[0]] * n)[:n]
+
+
+def _plainly(pattern, t, key):
+    """The attack, character by character."""
+    bits, after = _symbols(key, pattern, len(t), "01"), lambda symbols: "".join(c if c == "\n" else c + s for c, s in zip(t, symbols))
+    return {
+        "leetspeak": lambda: "".join(lexicon.LEET.get(c, [c])[-int(b)] for c, b in zip(t, bits)),
+        "space_injection": lambda: after(" " * len(t)), "zero_width": lambda: after(lexicon.ZERO_WIDTH * len(t)),
+        "char_repetition": lambda: "".join(c if c == "\n" else c * (2 + int(b)) for c, b in zip(t, bits)),
+        "special_chars": lambda: after(_symbols(key, pattern, len(t), lexicon.SPECIAL_CHARS)),
+        "emoji_injection": lambda: after(_symbols(key, pattern, len(t), lexicon.EMOJI)),
+        "case_variation": lambda: "".join((c.upper() if b == "1" else c.lower()) if c.isascii() else c for c, b in zip(t, bits)),
+        "unicode": lambda: "".join(unicodedata.normalize("NFKC", c) for c in t),
+        "character_swapping": lambda: re.sub(r"(\w)(\w)", r"\2\1", t),
+    }[pattern]()
+
+
+def test_attacks_on_odd_texts_need_no_array_of_characters(spark):
+    """The same as character by character, and no element per character in the JVM."""
+    rows = [(f"k{i}", t) for i, t in enumerate([*ODD, None])]
+    out = attacks.obfuscation_variants(spark.createDataFrame(rows, "key string, text string"), "text", "key")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "split(" not in plan
+    got = {(r["key"], r["pattern"]): r["attacked"] for r in out.collect()}
+    assert len(got) == len(rows) * 11
+    for (key, pattern), value in got.items():
+        t = dict(rows)[key]
+        if pattern not in ("original", "word_substitution"):
+            assert value == (None if t is None else _plainly(pattern, t, key)), (pattern, t)
+    by_number = spark.createDataFrame([(7, "tie"), (None, "tie")], "key long, text string")
+    got = [r[0] for r in by_number.select(obfuscate(F.col("text"), F.col("key"), "case_variation")).collect()]
+    assert got[0] == _plainly("case_variation", "tie", 7) and got[1].lower() == "tie"
+
+
+@pytest.mark.parametrize("text, want", [
+    ("", ""), (None, ""), ("...", ""), ("a a a", "aaa"), ("aaa bb-b", "abbb"), ("n n\n\nn", "nnn"), ("ＡＡＡ ﬁ", "afi"), ("😡x\u200by😡", "xy"),
+])
+def test_normalizer(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(normalize_obfuscation(F.col("t"))).first()[0] == want
+
+
+def test_keywords_are_searched_once(spark):
+    """Labels that share a word share its search: the keyword is tested once per text."""
+    df = spark.createDataFrame([(1, "kill it", "k1ll it")], "id int, text string, attacked string")
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(tagging.weak_labels(df.select("id", "text"))).count("painfully") == 1
+    assert plan(resilience.with_truth(df)).count("painfully") == 1
+    assert plan(resilience.attack_predictions(resilience.with_truth(df), ["id"], truth="truth")).count("painfully") == 2
+    assert plan(resilience.defence_gain(resilience.with_truth(df), ["id"], truth="truth")).count("painfully") == 3
+
+
 def test_synonyms_fold_back(spark):
     got = attacked(spark, "word_substitution", "hate, Kill! stupid", "z")
     df = spark.createDataFrame([(got,)], "t string")
