@@ -40,8 +40,8 @@ def terms_in_lowered(low: Column, terms: Sequence[str] = tuple(lexicon.IDENTITY_
     return F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in terms]))
 
 
-def weak_label_columns(low: Column) -> dict[str, Column]:
-    """The six keyword labels of an already lowered text."""
+def keyword_hits(low: Column) -> Column:
+    """Which keyword groups an already lowered text holds, as one struct."""
     insult = contains_any(low, lexicon.INSULT_WORDS)
     death = contains_any(low, lexicon.DEATH_WORDS)
     obscene = contains_any(low, lexicon.OBSCENE_WORDS)
@@ -49,6 +49,14 @@ def weak_label_columns(low: Column) -> dict[str, Column]:
         low.contains(lexicon.THREAT_PAIR[0]) & low.contains(lexicon.THREAT_PAIR[1])
     )
     hate = low.contains(lexicon.GROUP_MARK) & contains_any(low, lexicon.GROUP_WORDS)
+    groups = {"insult": insult, "death": death, "obscene": obscene, "threat": threat, "hate": hate}
+    return F.struct(*[hit.alias(name) for name, hit in groups.items()])
+
+
+def labels_of_hits(hits: Column) -> dict[str, Column]:
+    """The six keyword labels from the groups. Where ``hits`` is a column of its own,
+    the text is searched once for each word, whatever the labels share."""
+    insult, death, obscene, threat, hate = (hits[g] for g in ("insult", "death", "obscene", "threat", "hate"))
     rules = {
         "toxic": insult | death | obscene | threat | hate,
         "severe_toxic": death | threat,
@@ -60,6 +68,11 @@ def weak_label_columns(low: Column) -> dict[str, Column]:
     return {label: rules[label].cast("int") for label in lexicon.LABELS}
 
 
+def weak_label_columns(low: Column) -> dict[str, Column]:
+    """The six keyword labels of an already lowered text."""
+    return labels_of_hits(keyword_hits(low))
+
+
 def obfuscation_flag_columns(c: Column) -> dict[str, Column]:
     """One 0/1 flag per trick that a text may have been disguised with."""
     rules = {
