@@ -56,6 +56,13 @@ def test_nfkc_of_every_character(spark):
     assert [r[0] for r in got] == [f"x{unicodedata.normalize('NFKC', c)}y" for c in changed]
 
 
+def test_fold_of_every_character_without_a_table(spark):
+    chars = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x30000)]) if unicodedata.decomposition(c)]
+    df = spark.createDataFrame([(f"x{c}y\u0301",) for c in chars], "text string").select(ascii_fold(F.col("text")))
+    assert [r[0] for r in df.collect()] == ["".join(x for x in unicodedata.normalize("NFKD", f"x{c}y") if x < "\x80") for c in chars]
+    assert "translate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 LEMMAS = """
 houses house, cases case, sizes size, courses course, nurses nurse, purposes purpose, responses response, bias bias, canvas canvas,
 policemen policeman, firemen fireman, women woman, men man, specimen specimen, omen omen, dogs dog, cats cat, ideas idea,
