@@ -19,9 +19,13 @@ leader, the member with the most shared values, with all others; members that co
 to one component need no further comparison. Where a list still holds several
 components, about four more members and then all others meet the rest of their
 list across components. So every pair that could join two components is compared
-in the end, on full sets, unless sizes and bitmaps of the sets show that it can't
-be similar: a bit that only one of two sets has stands for a shingle that only
-this one has.
+in the end, on full sets, unless it is plain that it collides too seldom or can't
+be similar. The first shows in the lowest bits of the two signatures, where equal
+values agree; so members of a long list that share little but a few passages make
+no pairs. The second shows in sizes and bitmaps of the sets: a bit that only one of
+two sets has stands for a shingle that only this one has. Where all members of a
+list meet, a pair is made in the first list that holds both: a posting names the
+lists before it, and the pair is passed over where both name the same one.
 
 The sets decide: a link has |intersection| / |union| of at least ``percent``. A pair
 at exactly 0.8 collides in fewer than 32 of 64 coordinates with a probability of
@@ -31,6 +35,7 @@ at exactly 0.8 collides in fewer than 32 of 64 coordinates with a probability of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +45,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import components, written
 
 BITMAP = 16  # long integers
+PLANES = 4  # lowest bits of a coordinate
+BEFORE = 8  # lists that a posting names
 FEW_BODIES = 500_000  # hashes of eight bytes that are broadcast
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -92,6 +99,16 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def planes(signatures: pd.Series) -> list[np.ndarray]:
+    """The lowest bits of every signature, one bit of 64 coordinates a long; unused
+    places are zero."""
+    out = []
+    for values in signatures:
+        bits = (np.asarray(values)[None, :] >> np.arange(PLANES)[:, None] & 1).astype(np.uint8)
+        out.append(np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(np.int64).ravel())
+    return out
+
+
 def signed_documents(docs: DataFrame, id_col: str, text_col: str, words: int, coordinates: int) -> DataFrame:
     """(id, body, n, class, signature) per row; body is a hash of the text, class
     names the set by 128 bits and is null for a text without words."""
@@ -115,8 +132,8 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str, words: int, co
 
 
 def full_sets(docs: DataFrame, text_col: str, own: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(class, hashes, signature, bits) of the classes in ``needed``; the shingles are
-    cut again from one text of each, and only these texts are moved."""
+    """(class, hashes, signature, bits, planes) of the classes in ``needed``; the shingles
+    are cut again from one text of each, and only these texts are moved."""
     @F.pandas_udf("class binary, hashes array<long>, bits array<long>")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(words)
@@ -127,6 +144,10 @@ def full_sets(docs: DataFrame, text_col: str, own: DataFrame, needed: DataFrame,
                 "bits": [bitmap(x) for x in sets],
             })
 
+    @F.pandas_udf("array<long>")
+    def lowest(part: pd.Series) -> pd.Series:
+        return pd.Series(planes(part))
+
     # Texts of equal hash give equal sets or, if ever, sets of classes of their own.
     kept = written(own.join(needed, "class", "left_semi").groupBy("class").agg(F.min("body").alias("body"), F.first("signature").alias("signature")))
     bodies = written(kept.select("body").distinct())
@@ -135,7 +156,7 @@ def full_sets(docs: DataFrame, text_col: str, own: DataFrame, needed: DataFrame,
     texts = docs.select(F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text")).join(few, "body", "left_semi")
     one = texts.groupBy("body").agg(F.first("text").alias("text"))
     sets = one.select(found("text").alias("s")).select("s.*").groupBy("class").agg(F.first("hashes").alias("hashes"), F.first("bits").alias("bits"))
-    return sets.join(kept.select("class", "signature"), "class")
+    return sets.join(kept.select("class", "signature", lowest("signature").alias("planes")), "class")
 
 
 def postings(classes: DataFrame, matches: int) -> DataFrame:
@@ -164,6 +185,17 @@ def may_link(percent: int) -> Column:
     return sizes & enough(F.col("n_a") - only("a", "b")) & enough(F.col("n_b") - only("b", "a"))
 
 
+def may_collide(coordinates: int, matches: int) -> Column:
+    """Whether a and b can collide so often, by the lowest bits of their signatures
+    (planes_0_a, …): equal values agree in all of them."""
+    words = -(-coordinates // 64)
+    agree = F.lit(words * -64 + coordinates)  # unused places always agree
+    for w in range(words):
+        differ = [F.col(f"planes_{p * words + w}_a").bitwiseXOR(F.col(f"planes_{p * words + w}_b")) for p in range(PLANES)]
+        agree += F.bit_count(F.bitwise_not(reduce(Column.bitwiseOR, differ)))
+    return agree >= matches
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b) with enough collisions and similar full sets."""
     def both(rows: DataFrame, column: str) -> DataFrame:
@@ -191,27 +223,42 @@ def _open_lists(posted: DataFrame, roots: DataFrame | None) -> DataFrame:
     return written(rows.join(written(lists.filter("low <> high").select("key", "m")), "key"))
 
 
-def _meet(rows: DataFrame, leads: Column, sets: DataFrame, percent: int) -> DataFrame:
+def _meet(rows: DataFrame, leads: Column, sets: DataFrame, coordinates: int, matches: int, percent: int) -> DataFrame:
     """Different pairs (a, b, n_a, n_b) of a leader and another row of its list in
     another component that may link."""
+    if "before" not in rows.columns:
+        rows = rows.withColumn("before", F.array().cast("array<long>"))
     # Never null: without null checks the condition is small enough to be compiled.
-    bits = sets.select("class", *[F.coalesce(F.col("bits")[i], F.lit(0)).alias(f"bits_{i}") for i in range(BITMAP)])
-    whole = rows.select("key", "class", "n", "root", leads.alias("leads")).join(bits, "class")
-    names = ["n", "root", *bits.columns[1:]]
+    flat = {"planes": PLANES * -(-coordinates // 64), "bits": BITMAP}
+    bits = sets.select("class", *[F.coalesce(F.col(c)[i], F.lit(0)).alias(f"{c}_{i}") for c, n in flat.items() for i in range(n)])
+    whole = rows.select("key", "class", "n", "root", "before", leads.alias("leads")).join(bits, "class")
+    names = ["n", "root", "before", "leads", *bits.columns[1:]]
     side = lambda of, x: of.select("key", F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names])
-    met = side(whole.filter("leads"), "a").join(side(whole, "b"), "key").filter((F.col("root_a") != F.col("root_b")) & may_link(percent))
+    met = side(whole.filter("leads"), "a").join(side(whole, "b"), "key")
+    met = met.filter((F.col("root_a") != F.col("root_b")) & ((F.col("a") < F.col("b")) | ~F.col("leads_b")))
+    met = met.filter(may_collide(coordinates, matches) & may_link(percent) & ~F.arrays_overlap("before_a", "before_b"))
     swap = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     return met.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b")).distinct()
 
 
-def class_links(sets: DataFrame, posted: DataFrame, matches: int, percent: int) -> DataFrame | None:
+def _after_others(rows: DataFrame) -> DataFrame:
+    """(key, class, n, root, before): the postings with up to ``BEFORE`` lists of the
+    class that come before theirs. The least list of two classes is named by neither
+    with another that both have."""
+    held = rows.groupBy("class").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_list("key")).alias("held"))
+    each = held.select("class", "n", "root", "held", F.posexplode("held").alias("at", "key"))
+    before = F.slice("held", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least(F.col("at"), F.lit(BEFORE)))
+    return each.select("key", "class", "n", "root", before.alias("before"))
+
+
+def class_links(sets: DataFrame, posted: DataFrame, coordinates: int, matches: int, percent: int) -> DataFrame | None:
     """(node, root): the components of the classes that have a link; None without links."""
     links, roots = None, None
 
     def compare(rows: DataFrame, leads: Column) -> None:
         nonlocal links, roots
-        pairs = written(_meet(rows, leads, sets, percent))
+        pairs = written(_meet(rows, leads, sets, coordinates, matches, percent))
         if pairs.isEmpty():
             return
         found = written(confirmed(pairs, sets, matches, percent))
@@ -228,7 +275,7 @@ def class_links(sets: DataFrame, posted: DataFrame, matches: int, percent: int)
     if not rows.isEmpty():
         compare(rows, at < 4)
         rows = _open_lists(rows.drop("root", "m"), roots)
-        compare(rows.filter(at >= 4), F.lit(True))
+        compare(_after_others(rows.filter(at >= 4)), F.lit(True))
     return roots
 
 
@@ -252,7 +299,7 @@ def minhash_groups(
     posted = written(postings(classes, matches))
     needed = posted.select("class").distinct()
     sets = written(full_sets(docs, text_col, own, written(needed), words))
-    roots = class_links(sets, posted, matches, percent)
+    roots = class_links(sets, posted, coordinates, matches, percent)
     named = own.select("id", "n", "class")
     if roots is not None:
         named = named.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")

@@ -87,6 +87,55 @@ def test_prefix_keeps_every_pair_with_enough_collisions(spark):
     assert len(lists) < len({(k, v) for s in signatures.values() for k, v in enumerate(s)})  # long lists are skipped
 
 
+def test_minhash_lowest_bits_pass_every_pair_with_enough_collisions():
+    rng = np.random.default_rng(3)
+    for coordinates in (12, 64, 100):
+        a, b = rng.integers(-1 << 31, 1 << 31, (2, coordinates)).astype(np.int32)
+        b[:7] = a[:7]
+        x, y = minhash_dedup.planes([a, b])
+        words = -(-coordinates // 64)
+        assert len(x) == len(y) == minhash_dedup.PLANES * words
+        same = sum(all((a[k] ^ b[k]) >> p & 1 == 0 for p in range(minhash_dedup.PLANES)) for k in range(coordinates))
+        differ = np.bitwise_or.reduce((x ^ y).reshape(minhash_dedup.PLANES, words), axis=0)
+        assert same >= 7 and 64 * words - np.unpackbits(differ.view(np.uint8)).sum() - (64 * words - coordinates) == same
+
+
+def test_minhash_makes_no_pairs_of_texts_that_share_a_few_passages(spark, monkeypatch):
+    """Long texts of passages from one pool: their bitmaps are too full to tell them
+    apart, every list holds a share of all texts, and no two are similar."""
+    rng = random.Random(12)
+    pool = [[f"w{rng.randint(0, 5000)}" for _ in range(400)] for _ in range(24)]
+    texts = [" ".join(w for p in rng.sample(pool, 5) for w in p) for _ in range(80)]
+    texts += [t + " and one more" for t in texts[:3]]
+    met, plain = [], minhash_dedup.confirmed
+    monkeypatch.setattr(minhash_dedup, "confirmed", lambda pairs, *args: met.append(pairs.count()) or plain(pairs, *args))
+    docs = dict(enumerate(texts))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in minhash_dedup.minhash_groups(df, words=4).collect()}
+    want = plain_groups(docs, 4, 80)
+    similar = sum(not k for _, _, k in want.values())
+    assert got == want and 3 <= similar < 20
+    assert similar <= sum(met) < 200
+
+
+def test_minhash_makes_a_pair_in_few_of_its_lists(spark):
+    rng = random.Random(4)
+    rows = [(key, bytearray([c]), 9, bytearray([c])) for c in range(40) for key in rng.sample(range(50), 30)]
+    df = spark.createDataFrame(rows, "key long, class binary, n long, root binary")
+    lists = {}
+    for r in minhash_dedup._after_others(df).collect():
+        lists.setdefault(r["key"], []).append((bytes(r["class"]), set(r["before"])))
+    common, made = Counter(), Counter()
+    for members in lists.values():
+        for a, x in members:
+            for b, y in members:
+                if a < b:
+                    common[a, b] += 1
+                    made[a, b] += not x & y
+    assert all(made[pair] for pair in common) and sum(made.values()) < 0.1 * sum(common.values())
+    assert sum(map(len, lists.values())) == len(rows)
+
+
 def test_minhash_edges(spark, edges, nothing):
     rows = minhash_dedup.minhash_groups(edges).collect()
     got = {}
