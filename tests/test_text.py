@@ -127,6 +127,32 @@ def test_lemmas_by_vocabulary(spark):
     assert dict(zip(want, out[1].split())) == want and out[2] == "" and out[3] == "die die"
 
 
+def test_lemmas_by_vocabulary_read_every_text_twice(spark):
+    """Once for its words and once to replace them, whatever is done with the words."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        read.add(1)
+        return t
+
+    texts = [(i, f"cats and {'women' if i % 2 else 'boxes'} x{i}s") for i in range(50)]
+    df = spark.createDataFrame(texts, "id int, text string").select("id", seen.asNondeterministic()("text").alias("clean"))
+    vocabulary = spark.createDataFrame([("cat",), ("woman",), ("box",)], "word string")
+    out = {r["id"]: r["out"] for r in cleaning.lemmatize_by_vocabulary(df, "id", "clean", vocabulary, "out").collect()}
+    assert out == {i: f"cat and {'woman' if i % 2 else 'box'} x{i}s" for i, _ in texts}
+    assert read.value <= 2 * len(texts)
+
+
+@pytest.mark.parametrize("rules", [[("s", ""), ("es", ""), ("men", "man"), (".", "")], [("ies", "y")]])
+def test_only_words_with_an_ending_are_looked_up(spark, rules):
+    words = ["s", "es", "cats", "men", "women", "y", "end.", "feet", "ties", "ie", ""]
+    could = cleaning.detachable({"feet": "foot"}, rules)
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    want = {w for w in words if w == "feet" or any(w.endswith(s) for s, _ in rules)}
+    assert {r["w"] for r in df.filter(could(F.col("w"))).collect()} == want
+
+
 def test_lookup_is_even_on_a_skewed_corpus(spark):
     """A word of every text spreads over the salts, and the result is the literal map's."""
     rows = [(i, " ".join(["cats", f"w{i % 50}s", f"x{i}"])) for i in range(2000)]
