@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from modengine.functions import lexicon
 from modengine.functions.obfuscation import obfuscate
 from modengine.functions.text import fold_synonyms, normalize_obfuscation
-from modengine.operators import attacks, models, resilience, tagging
+from modengine.operators import attacks, cleaning, models, resilience, tagging
+from modengine.plans import learning
 from modengine.sources import comments, results
 from modengine.sources.checkpoint import cut_lineage
 from modengine.streaming import cleaning as stream
 
+SMOKE_DIR = "/root/testdata/sf0.001"
 TEXT = "This is a Silly\ncomment, I hate it"
 
 
@@ -249,6 +251,24 @@ def test_models_round_trip(spark, tmp_path):
     assert models.MacroF1Evaluator().evaluate(models.predict_long(fitted, df, "id", "t")) == pytest.approx(1.0)
 
 
+def test_text_model_cleans_every_text_once(spark, monkeypatch):
+    """Fits and scores of a query read written terms; and those score as the texts do."""
+    read, rows = spark.sparkContext.accumulator(0), learning.labelled(spark, SMOKE_DIR)
+
+    @F.udf("string")
+    def seen(t):
+        read.add(1)
+        return t
+
+    monkeypatch.setattr(learning, "labelled", lambda *_: rows.withColumn("text", seen.asNondeterministic()("text")))
+    got = {r["id"]: r["p"] for r in learning.lr_scores(spark, SMOKE_DIR).filter("label = 'toxic'").collect()}
+    assert read.value == len(got) == rows.count()
+    clean = cleaning.clean_basic(rows)
+    fitted = models.fit_weighted_linear(clean, ["toxic"])
+    texts = models.predict_long(fitted, clean, "doc_id", "linear", text_col="clean")
+    assert {r["id"]: r["p"] for r in texts.collect()} == pytest.approx(got)
+
+
 def test_drawn_settings_stay_in_range():
     drawn = models.draw_params(n_iter=100)
     assert len(drawn) == 100 and drawn == models.draw_params(n_iter=100)
