@@ -18,7 +18,9 @@ hold at most ``min_words`` lines, which bounds the rounds, whatever the data.
 Hot lines: counts are combined before the shuffle, and the classes are written
 before they meet their places. Both sides of that join are then plain exchanges,
 so Spark broadcasts few classes and splits large partitions of places. No window
-spans a class; the only windows are over one document.
+spans a class; the only windows are over one document. The copies of every round
+are written too: the last plan only reads them, so the driver never runs the joins
+of all rounds at once.
 """
 
 from __future__ import annotations
@@ -100,9 +102,9 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int)
         mine = blocks.filter(f"m >= {size} and m < {2 * size}")
         head = join_null_safe(mine, level, ["id", "th", "at"])
         tail = level.select("id", "th", F.col("at").alias("tail_at"), F.col("rank").alias("tail"))
-        both = join_null_safe(head.withColumn("tail_at", F.col("at") + F.col("m") - size), tail, ["id", "th", "tail_at"])
+        both = written(join_null_safe(head.withColumn("tail_at", F.col("at") + F.col("m") - size), tail, ["id", "th", "tail_at"]))
         start = written(both.groupBy("rank", "tail", "m").agg(F.min(_here()).alias("first")))
-        copies = both.join(start, ["rank", "tail", "m"]).filter(F.col("first") != _here())
+        copies = written(both.join(start, ["rank", "tail", "m"]).filter(F.col("first") != _here()).select("id", "th", "at", "m"))
         gone = gone.union(copies.select("id", "th", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("at")))
     return gone.groupBy("id", "th").agg(F.collect_set("at").alias("gone"))
 

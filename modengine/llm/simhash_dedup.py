@@ -130,7 +130,7 @@ def vantage_shards(fps: DataFrame, max_bits: int = 4, shard: int = 4096, points:
         ))
         ends = (F.col("n") <= shard) | F.coalesce(F.col("n") * 10 > F.col("parent") * 9, F.lit(False))
         rows = rows.drop("parent")
-        leaves.append(rows.join(sizes.filter(ends).select(*keys, "n"), keys).select(*keys, "n", "fp"))
+        leaves.append(written(rows.join(sizes.filter(ends).select(*keys, "n"), keys).select(*keys, "n", "fp")))
         large = sizes.filter(~ends).drop("parent")
         if large.isEmpty():
             return reduce(DataFrame.unionByName, leaves)

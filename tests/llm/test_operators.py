@@ -80,6 +80,22 @@ def test_line_dedup_against_brute_force(spark):
 
 # -- 2 ----------------------------------------------------------------------------------
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_dedup_last_plan_is_small(spark):
+    # Joins of all rounds in one plan ran at once and filled the driver's memory.
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plan = plan_of(line_dedup.dedup_lines(docs))
+    assert plan.count("Join") == 1 and plan.count("Exchange") <= 3
+
+
+def test_simhash_leaves_are_read_once_made(spark):
+    fps = spark.range(3000).select(F.xxhash64("id").alias("fp"))
+    assert "Join" not in plan_of(simhash_dedup.vantage_shards(fps, 4, 512))
+
+
 def test_simhash_edges(edges, nothing):
     rows = simhash_dedup.simhash_groups(edges).collect()
     assert len(rows) == edges.count()
