@@ -115,7 +115,8 @@ def mixed_documents(docs: DataFrame, domain: Column, id_col: str = "doc_id", tex
     any of them is taken."""
     taken = mix(docs, domain, id_col=id_col, text_col=text_col, **options)
     key, n, many = free_names(docs, ["mix_hash", "mix_times", "mix_many"])
-    times = taken.groupBy("id", "th").agg(F.count("*").cast("int").alias(n)).withColumnsRenamed({"id": "_mid", "th": "_mth"})
+    # Written, so that the plan that moves the texts does not hold the whole division.
+    times = written(taken.groupBy("id", "th").agg(F.count("*").cast("int").alias(n)).withColumnsRenamed({"id": "_mid", "th": "_mth"}))
     keyed = docs.withColumn(key, F.xxhash64(text_col))
     again = keyed.groupBy(F.col(id_col).alias("_aid"), F.col(key).alias("_ath")).agg(F.count("*").alias("_c")).filter("_c > 1")
     again = written(again.select("_aid", "_ath", F.lit(True).alias(many)))
