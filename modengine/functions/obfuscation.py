@@ -5,20 +5,25 @@ attack is repeatable. Attacks that go character by character are array operation
 over a text's code points in one Arrow UDF: in the JVM every character would become
 an array element, at twenty times the cost. Choices per character are one string of
 symbols per text; line feeds are left alone, as ``.`` would.
+
+An attacked text may be many times as long as the text. The UDFs take a batch's texts
+one by one and hand their results on as soon as a few megabytes are together, so
+neither side ever holds an attacked batch; attacks in turn are one call.
 """
 
 from __future__ import annotations
 
+import re
 import string
 import unicodedata
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from . import lexicon
-from .rand import det_index, symbol_stream
+from .rand import det_index, drawn_index, symbol_stream
 from .tags import contains_any
 from .text import W
 from .unicode import is_ascii, of_points, points, word_points
@@ -98,10 +103,62 @@ _BY_CHARACTER = {
     "zero_width": _appended(lexicon.ZERO_WIDTH, ""), "character_swapping": _swapped,
 }
 
+_PIECES = re.compile(r"\w+|\W+")
+
+
+def _substituted(t: str, key: str | None) -> str:
+    """``word_substitution`` of one text."""
+    low = t.lower()
+    if not any(word in low for word in lexicon.SYNONYMS):
+        return t
+    pieces = _PIECES.findall(t)
+    for i, piece in enumerate(pieces):
+        mine = lexicon.SYNONYMS.get(piece.lower())
+        if mine is not None:
+            pieces[i] = mine[drawn_index(key, f"word_substitution:{i}", len(mine))]
+    return "".join(pieces)
+
+
+_BY_TEXT = {**_BY_CHARACTER, "word_substitution": _substituted}
+
+# Characters of results that are handed on together; a text with more goes alone.
+_HANDED_ON = 1 << 20
+
+
+def _in_parts(texts: Iterable[str | None], most: int = _HANDED_ON) -> Iterator[pa.Array]:
+    """The texts as arrays of about ``most`` characters, each made when it is asked for."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += 0 if t is None else len(t)
+        if held >= most:
+            yield pa.array(part, pa.string())
+            part, held = [], 0
+    yield pa.array(part, pa.string())
+
 
-@F.pandas_udf(T.StringType())
-def _rewritten(texts: pd.Series, keys: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else _BY_CHARACTER[p](t, k) for t, k, p in zip(texts, keys, names)], dtype=object)
+def _rows(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[tuple]:
+    """The rows of Arrow batches, one at a time."""
+    for columns in batches:
+        for row in zip(*columns):
+            yield tuple(x.as_py() for x in row)
+
+
+@F.arrow_udf(T.StringType())
+def _rewritten(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    yield from _in_parts(None if t is None else _BY_CHARACTER[p](t, k) for t, k, p in _rows(batches))
+
+
+def _in_turn(t: str, key: str, names: Sequence[str]) -> str:
+    for stage, name in enumerate(names, 1):
+        if name in _BY_TEXT:
+            t = _BY_TEXT[name](t, f"{key}:{stage}")
+    return t
+
+
+@F.arrow_udf(T.StringType())
+def _rewritten_in_turn(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    yield from _in_parts(None if t is None else _in_turn(t, k, names) for t, k, names in _rows(batches))
 
 
 def _by_character(c: Column, key, name: Column, only: Column | None = None) -> Column:
@@ -196,3 +253,11 @@ def obfuscate_by(c: Column, key, pattern: Column, patterns: Sequence[str] = tupl
         if name in ATTACKS and name not in arrow:
             out = F.when(pattern == name, ATTACKS[name](c, key)).otherwise(out)
     return out
+
+
+def obfuscate_in_turn(c: Column, key: Column, names: Column) -> Column:
+    """The attacks that an array names, one after the other, each with the key
+    ``key:place`` (from 1 on). One call makes them all, so the text of no stage but
+    the last leaves Python. Unknown names change nothing; rows without names go to
+    Python as null."""
+    return F.coalesce(_rewritten_in_turn(F.when(F.size(names) > 0, c), key.cast("string"), names), c)

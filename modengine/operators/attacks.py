@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicon
-from ..functions.obfuscation import obfuscate, obfuscate_by
+from ..functions.obfuscation import obfuscate, obfuscate_by, obfuscate_in_turn
 from ..functions.rand import det_rand, hash_hex, det_index
 from .cleaning import computed_once
 from .ranking import ranked
@@ -57,13 +57,8 @@ def attack_rows(
     rows = rows.withColumn("_key", key).withColumn(
         "_names", F.when(clean, F.array().cast("array<string>")).otherwise(_drawn_patterns(F.col("_key"), patterns))
     )
-    for stage in range(1, 4):
-        chosen = F.try_element_at("_names", F.lit(stage))
-        stage_key = F.concat(F.col("_key"), F.lit(f":{stage}"))
-        rows = rows.withColumn("_k", stage_key).withColumn("_p", F.coalesce(chosen, F.lit("none")))
-        attacked = obfuscate_by(F.col("text"), F.col("_k"), F.col("_p"), patterns)
-        # Inlined into the next stage, each stage would be copied many times.
-        rows = computed_once(rows.withColumn("text", attacked), "text")
+    attacked = obfuscate_in_turn(F.col("text"), F.col("_key"), F.col("_names"))
+    rows = computed_once(rows.withColumn("text", attacked), "text")
     sure = det_rand(F.col("_key"), "confidence")
     return rows.select(
         "base_id", "variant", "text", "original_text",

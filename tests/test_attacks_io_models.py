@@ -1,16 +1,18 @@
 """Attacks, sources, streaming and models."""
 
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from modengine.functions import lexicon
-from modengine.functions.obfuscation import obfuscate
+from modengine.functions.obfuscation import _rewritten, _rewritten_in_turn, obfuscate, obfuscate_by, obfuscate_in_turn
 from modengine.functions.text import fold_synonyms, normalize_obfuscation
 from modengine.operators import attacks, cleaning, models, resilience, tagging
 from modengine.plans import learning
@@ -88,6 +90,35 @@ def test_attacks_on_odd_texts_need_no_array_of_characters(spark):
     assert got[0] == _plainly("case_variation", "tie", 7) and got[1].lower() == "tie"
 
 
+def test_attacks_in_turn_are_one_call(spark):
+    """The same as attack after attack, by a single evaluation in Python."""
+    said = "I hate it, kill_ KILL! stupid\n\u212aill die\u0301 or die"
+    turns = [list(p) for p in itertools.permutations(["word_substitution", "zero_width", "unicode", "case_variation", "no such attack"], 3)]
+    turns += [[p, "word_substitution"] for p in lexicon.PATTERNS] + [["leetspeak"], []]
+    rows = [(i, f"k{i}:{j}", t, names) for i, t in enumerate([said, *ODD, None]) for j, names in enumerate(turns)]
+    df = spark.createDataFrame(rows, "id int, key string, text string, names array<string>")
+    got = df.withColumn("out", obfuscate_in_turn(F.col("text"), F.col("key"), F.col("names")))
+    staged = df.withColumn("out", F.col("text"))
+    for stage in (1, 2, 3):
+        name, key = F.coalesce(F.try_element_at("names", F.lit(stage)), F.lit("none")), F.concat("key", F.lit(f":{stage}"))
+        staged = cut_lineage(staged.withColumn("out", obfuscate_by(F.col("out"), key, name)))
+    assert {r["key"]: r["out"] for r in got.collect()} == {r["key"]: r["out"] for r in staged.collect()}
+    base = spark.createDataFrame([(1, said, "toxic"), (2, said, "clean")], "base_id int, text string, class string")
+    plan = attacks.attack_rows(base)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("udf, names", [(_rewritten, ["emoji_injection"] * 40), (_rewritten_in_turn, [["emoji_injection", "char_repetition"]] * 40)])
+def test_attacked_batches_are_handed_on_in_parts(udf, names):
+    """No attacked batch is held: what one batch gives leaves as several arrays, in order."""
+    texts = ["x" * 10] * 38 + ["y" * (1 << 20), None]
+    batch = tuple(pa.array(x) for x in (texts, [f"k{i}" for i in range(40)], names))
+    parts = [x for x in udf.func(iter([batch] * 3))]
+    assert sum(map(len, parts)) == 120 and len(parts) >= 4
+    assert [x for p in parts for x in p.to_pylist()].count(None) == 3
+    assert len(next(iter(udf.func(itertools.chain([batch], itertools.repeat(batch)))))) == 39
+
+
 @pytest.mark.parametrize("text, want", [
     ("", ""), (None, ""), ("...", ""), ("a a a", "aaa"), ("aaa bb-b", "abbb"), ("n n\n\nn", "nnn"), ("ＡＡＡ ﬁ", "afi"), ("😡x\u200by😡", "xy"),
 ])
