@@ -43,9 +43,9 @@ def _drawn_patterns(key: Column, patterns: Sequence[str]) -> Column:
 
 def attack_rows(
     base: DataFrame, variants: int = 3, seed: int = 42, patterns: Sequence[str] = tuple(lexicon.PATTERNS),
-    clean_class: str = "clean",
+    clean_class: str = "clean", keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Attack set from base rows (base_id, text, class).
+    """Attack set from base rows (base_id, text, class), with the columns of ``keep``.
 
     Every row gives ``variants`` rows, each attacked by two or three patterns
     one after the other; rows of the clean class are passed on once as they are.
@@ -65,7 +65,7 @@ def attack_rows(
         F.when(clean, F.lit("clean")).otherwise(F.array_join("_names", "+")).alias("pattern"), "class",
         (~clean).cast("int").alias("is_toxic"),
         F.when(clean, 0.8 + 0.2 * sure).otherwise(0.7 + 0.3 * sure).alias("confidence"),
-        F.size("_names").alias("obfuscation_level"),
+        F.size("_names").alias("obfuscation_level"), *keep,
     )
 
 

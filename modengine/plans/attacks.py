@@ -231,12 +231,12 @@ def resilience_by_pattern(spark, d):
        f"f AS ({macro_micro_sql('level', 'pairs')}) SELECT level, round(f1_macro, 9) AS f1_macro, round(c, 9) AS f1_clean, "
        "round(f1_macro / nullif(c, 0), 9) AS resilience FROM f, (SELECT f1_macro AS c FROM f WHERE level = 0)")
 def resilience_by_level(spark, d):
-    base = _base(spark, d)
-    attacked = attacks.attack_rows(base, seed=SEED).filter(F.col("is_toxic") == 1).select(
-        F.col("obfuscation_level").alias("level"), F.col("original_text").alias("text"), F.col("text").alias("attacked")
+    base = resilience.with_truth(_base(spark, d))
+    attacked = attacks.attack_rows(base, seed=SEED, keep=["truth"]).filter(F.col("is_toxic") == 1).select(
+        F.col("obfuscation_level").alias("level"), "truth", F.col("text").alias("attacked")
     )
-    rows = attacked.unionByName(base.select(F.lit(0).alias("level"), "text", F.col("text").alias("attacked")))
-    preds = resilience.attack_predictions(rows, ["level"])
+    rows = attacked.unionByName(base.select(F.lit(0).alias("level"), "truth", F.col("text").alias("attacked")))
+    preds = resilience.attack_predictions(rows, ["level"], truth="truth")
     return rounded(resilience.resilience_ratio(preds, "level", 0))
 
 

@@ -15,7 +15,7 @@ from modengine.functions import lexicon
 from modengine.functions.obfuscation import _rewritten, _rewritten_in_turn, obfuscate, obfuscate_by, obfuscate_in_turn
 from modengine.functions.text import fold_synonyms, normalize_obfuscation
 from modengine.operators import attacks, cleaning, models, resilience, tagging
-from modengine.plans import learning
+from modengine.plans import attacks as plans, learning
 from modengine.sources import comments, results
 from modengine.sources.checkpoint import cut_lineage
 from modengine.streaming import cleaning as stream
@@ -136,6 +136,15 @@ def test_keywords_are_searched_once(spark):
     assert plan(resilience.defence_gain(resilience.with_truth(df), ["id"], truth="truth")).count("painfully") == 3
 
 
+def test_levels_label_the_original_once_for_all_variants(spark):
+    """The labels of a text are found before it is fanned out, and one call in Python makes all stages."""
+    plan = plans.resilience_by_level(spark, SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert plan.split("explode(sequence")[0].count("painfully") == 1  # above the fan-out only the attacked text is searched
+    rows = attacks.attack_rows(spark.createDataFrame([(1, "kill", "threat", 5)], "base_id int, text string, class string, more int"), keep=["more"])
+    assert [r["more"] for r in rows.collect()] == [5, 5, 5]
+
+
 def test_synonyms_fold_back(spark):
     got = attacked(spark, "word_substitution", "hate, Kill! stupid", "z")
     df = spark.createDataFrame([(got,)], "t string")
