@@ -16,13 +16,14 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from . import lexicon
+from .arrow import in_parts, rows
 from .rand import det_index, drawn_index, symbol_stream
 from .tags import contains_any
 from .text import W
@@ -121,32 +122,9 @@ def _substituted(t: str, key: str | None) -> str:
 
 _BY_TEXT = {**_BY_CHARACTER, "word_substitution": _substituted}
 
-# Characters of results that are handed on together; a text with more goes alone.
-_HANDED_ON = 1 << 20
-
-
-def _in_parts(texts: Iterable[str | None], most: int = _HANDED_ON) -> Iterator[pa.Array]:
-    """The texts as arrays of about ``most`` characters, each made when it is asked for."""
-    part, held = [], 0
-    for t in texts:
-        part.append(t)
-        held += 0 if t is None else len(t)
-        if held >= most:
-            yield pa.array(part, pa.string())
-            part, held = [], 0
-    yield pa.array(part, pa.string())
-
-
-def _rows(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[tuple]:
-    """The rows of Arrow batches, one at a time."""
-    for columns in batches:
-        for row in zip(*columns):
-            yield tuple(x.as_py() for x in row)
-
-
 @F.arrow_udf(T.StringType())
 def _rewritten(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    yield from _in_parts(None if t is None else _BY_CHARACTER[p](t, k) for t, k, p in _rows(batches))
+    yield from in_parts(None if t is None else _BY_CHARACTER[p](t, k) for t, k, p in rows(batches))
 
 
 def _in_turn(t: str, key: str, names: Sequence[str]) -> str:
@@ -158,7 +136,7 @@ def _in_turn(t: str, key: str, names: Sequence[str]) -> str:
 
 @F.arrow_udf(T.StringType())
 def _rewritten_in_turn(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    yield from _in_parts(None if t is None else _in_turn(t, k, names) for t, k, names in _rows(batches))
+    yield from in_parts(None if t is None else _in_turn(t, k, names) for t, k, names in rows(batches))
 
 
 def _by_character(c: Column, key, name: Column, only: Column | None = None) -> Column:

@@ -1,13 +1,15 @@
 """Text functions: examples and edge cases."""
 
 import unicodedata
+from functools import partial
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
 
-from modengine.functions import tags, text as tx
+from modengine.functions import lexicon, tags, text as tx
 from modengine.functions.unicode import ascii_fold, nfkc_chars
-from modengine.operators import cleaning, tagging
+from modengine.operators import attacks, cleaning, models, tagging
 
 TEXTS = [
     "", "   ", "Hello World!", "\nNew\nLines\n", "Tab\tTab\x0bv\x1cs nbsp　", "soooo cooool!!! ??.. ....",
@@ -197,3 +199,30 @@ def test_guards_and_stats(spark):
         tagging.require_rows(df, 3)
     with pytest.raises(ValueError, match="threat"):
         tagging.require_columns(df, ["text", "threat"])
+
+
+def test_thorough_cleaner_is_its_steps_in_one_call(spark):
+    """The same as step by step, also on attacked texts, and no regex in the JVM."""
+    every = "".join(map(chr, range(128)))
+    said = [*TEXTS, every, every * 3, "".join(c * 4 for c in every), "℡ K İx the classes of women's wives, buses a's news aaas menmen 12men",
+            "http://a@b.c&amp;www.x y@z.c#t <a href=''>@<b> &a_1;b;c x\x1cy\x85z", "é" * 5 + "e" * 4, "it ''" + "'' ____ s_s"]
+    df = attacks.obfuscation_variants(spark.createDataFrame(list(enumerate(said)), "id int, t string"), "t", "id").localCheckpoint()
+    steps = [tx.text_or_empty, tx.lower_text, ascii_fold, tx.strip_html, tx.strip_urls, tx.strip_emails, tx.strip_handles,
+             tx.strip_entities, tx.strip_punct, tx.strip_digits, tx.collapse_repeats, tx.squeeze_ws]
+    of = lambda out: {(r["id"], r["pattern"]): r["clean"] for r in out.collect()}
+    for words, exceptions in ((tuple(lexicon.STOP_WORDS), None), ((), {}), (("a",), {"news": "new", "x": ""})):
+        got = cleaning.clean_thorough(df, "attacked", "clean", words, exceptions)
+        last = partial(tx.drop_and_lemmatize, words=words, exceptions=exceptions)
+        assert of(got) == of(cleaning.through(df, "attacked", "clean", [*steps, last]))
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashed_means_find_a_words_axis_once(spark):
+    """Means by the md5 of every word, without a digest per word in the JVM."""
+    said = ["", None, "a", "  b　a b\x1c", "wort über ß 日本 wort", " ".join(map(str, range(300)))]
+    out = models.embed(spark.createDataFrame(list(enumerate(said)), "id int, t string"), "t", dim=16)
+    assert "md5" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        words = (r["t"] or "").split()
+        axes = [int(md5(w.encode()).hexdigest()[:8], 16) % 16 for w in words]
+        assert r["features"] == pytest.approx([axes.count(i) / max(len(words), 1) for i in range(16)], abs=1e-7)
